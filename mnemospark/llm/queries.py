@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import conversations, unify
+from mnemospark.llm import conversations, packing, tokens, truncation, unify
 from mnemospark.sources.tables import table
 
 
@@ -33,5 +33,33 @@ def p4_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuilt(spark, table(spark, sf_dir, "originals"), table(spark, sf_dir, "speakers"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_rebuilt": p4_rebuilt}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text, or piece of a text, lies in which container of each budget."""
+    items = packing.document_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "budgets"))
+    return packing.pack(items).select("budget_id", F.col("key").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per budget: containers used, the lower bound and the share filled."""
+    items = packing.document_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "budgets"))
+    return packing.fill_report(packing.pack(items))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.shares(truncation.judged(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_rebuilt": p4_rebuilt, "p6_ids": p6_ids,
+    "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares,
+}
 ORACLES: dict[str, str] = {}
