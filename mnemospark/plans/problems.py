@@ -70,7 +70,7 @@ ORACLES = {
     + """SELECT conversation_id, count(*) AS n_sessions, CAST(sum(n_messages) AS BIGINT) AS n_messages,
     CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, max(end_ms - start_ms) AS longest_ms FROM found GROUP BY 1""",
     "p2_user_events": """
-WITH m AS (SELECT user_id, epoch_ms(ts) AS ms FROM events WHERE ts IS NOT NULL),
+WITH m AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts IS NOT NULL),
 l AS (SELECT *, lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS before FROM m),
 n AS (SELECT *, sum(CASE WHEN before IS NULL OR ms - before > 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM l)
 SELECT user_id, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS n, max(ms) - min(ms) AS duration_ms FROM n GROUP BY user_id, s""",
