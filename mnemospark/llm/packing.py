@@ -86,17 +86,17 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def items_of(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
+def items_of(sizes: DataFrame, budgets: list[tuple[int, int]]) -> DataFrame:
     """``budget_id, capacity, key, piece, size``: a row for each document and budget.
 
     Only a document larger than the capacity is split, into pieces of just the capacity and
-    a rest. ``sizes`` has ``key, tokenizer, n_tokens``; budgets without a positive capacity
-    have no items.
+    a rest. ``sizes`` has ``key, n_tokens``; ``budgets`` are (budget_id, capacity).
     """
-    b = budgets.select(F.col("budget_id").cast("int"), "tokenizer", F.col("capacity").cast("int")).where("capacity > 0")
+    each = F.array(*[F.struct(F.lit(i).alias("budget_id"), F.lit(c).alias("capacity")) for i, c in budgets])
     pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")) - 1, F.lit(0)).cast("int"))
     return (
-        sizes.join(b, "tokenizer")
+        sizes.select("key", "n_tokens", F.explode(each).alias("b"))
+        .select("key", "n_tokens", "b.budget_id", "b.capacity")
         .select("budget_id", "capacity", "key", "n_tokens", F.explode(pieces).alias("piece"))
         .select("budget_id", "capacity", "key", "piece", F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("size"))
     )
@@ -167,15 +167,22 @@ def pack(items: DataFrame, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -
 
 
 def document_items(documents: DataFrame, budgets: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """Items of all documents for all budgets, sizes in tokens of the budget's tokenizer."""
-    names = [r[0] for r in budgets.where("capacity > 0").select("tokenizer").where(F.col("tokenizer").isNotNull()).distinct().collect()]  # a table that does not grow
-    sizes = None
-    for t in sorted(names):
-        one = token_counts(documents, tokenizer=t, folder=folder).select(F.col("doc_id").cast("long").alias("key"), F.lit(t).alias("tokenizer"), "n_tokens")
-        sizes = one if sizes is None else sizes.unionByName(one)
-    if sizes is None:
-        sizes = documents.select(F.col("doc_id").cast("long").alias("key"), F.lit("").alias("tokenizer"), F.lit(0).alias("n_tokens")).limit(0)
-    return items_of(sizes, budgets)
+    """Items of all documents for all budgets, sizes in tokens of the budget's tokenizer.
+
+    The budgets are read to the driver: their table is a setting of a few rows and does not
+    grow. Those without a tokenizer or a positive capacity hold nothing.
+    """
+    by: dict[str, list[tuple[int, int]]] = {}
+    for r in budgets.where("capacity > 0 AND tokenizer IS NOT NULL AND budget_id IS NOT NULL").select("budget_id", "tokenizer", "capacity").distinct().orderBy("budget_id").collect():
+        by.setdefault(r["tokenizer"], []).append((int(r["budget_id"]), int(r["capacity"])))
+    items = None
+    for t in sorted(by):
+        sizes = token_counts(documents, tokenizer=t, folder=folder).select(F.col("doc_id").cast("long").alias("key"), "n_tokens")
+        one = items_of(sizes, by[t])
+        items = one if items is None else items.unionByName(one)
+    if items is None:
+        items = items_of(documents.select(F.col("doc_id").cast("long").alias("key"), F.lit(0).alias("n_tokens")), [(0, 1)]).where(F.lit(False))
+    return items
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

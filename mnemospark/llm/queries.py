@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import conversations, packing, tokens, truncation, unify
+from mnemospark.llm import conversations, packing, pii, tokens, truncation, unify
 from mnemospark.sources.tables import table
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "originals").select(F.lit("originals").alias("src_table"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    e = table(spark, sf_dir, "episodes").select(F.lit("episodes").alias("src_table"), F.col("episode_id").alias("row_id"), F.col("content").alias("text"))
+    return o.unionByName(e)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_personal(spark, sf_dir))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content with placeholders in the place of personal information."""
+    return pii.redacted(_personal(spark, sf_dir))
+
+
 def _same_looking(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "originals").select(F.lit("originals").alias("src_table"), "id", F.col("content").alias("text"))
     n = table(spark, sf_dir, "names").select(F.lit("names").alias("src_table"), F.col("name_id").alias("id"), F.explode("aliases").alias("text"))
@@ -59,6 +74,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_rebuilt": p4_rebuilt, "p6_ids": p6_ids,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares,
 }
