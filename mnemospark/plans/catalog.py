@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import problems
+from mnemospark.plans import problems, retrieval
 
-_MODULES = (problems,)
+_MODULES = (problems, retrieval)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
