@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm import characters as ch
 from mnemospark.llm.charlstm import Tagger, spans
-from mnemospark.llm.tokens import spread
 
 MODEL = str(Path(__file__).with_name("pii_model.npz"))
 #: Texts are cut behind a full stop: one of ideographic text, or one before white space.
@@ -134,8 +133,11 @@ def cut(c: Column) -> Column:
 
 def mentions(parts: DataFrame, model: str = MODEL) -> DataFrame:
     """``segment, mentions`` of every distinct value of ``parts.segment`` that has any."""
-    distinct = parts.select("segment").where(F.length("segment") > 1).distinct()
-    return spread(distinct).mapInPandas(_tag(model), "segment string, mentions array<struct<start:int,end:int,type:string>>")
+    spark = parts.sparkSession
+    # tagging is costly for its bytes: parts by number and not by size
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = parts.select("segment").where(F.length("segment") > 1).distinct().repartition(n)
+    return distinct.mapInPandas(_tag(model), "segment string, mentions array<struct<start:int,end:int,type:string>>")
 
 
 def found(texts: DataFrame, model: str = MODEL) -> DataFrame:
