@@ -112,9 +112,10 @@ def bm25(asked: DataFrame, postings: DataFrame, units: DataFrame, fields: dict[s
 
 
 def pool(scores: DataFrame, size: int = POOL) -> DataFrame:
-    """The best ``size`` units of each query, before any filter; ties by unit."""
+    """The best ``size`` units of each query, before any filter; ties by unit. Scores are
+    rounded to six digits first, so that equal texts tie whatever the order of the sum."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    return scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
 
 
 def coverage(weighted: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:

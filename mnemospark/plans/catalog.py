@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemospark.plans import problems, retrieval
+from mnemospark.plans import memory, problems, relational, retrieval, streams
 
-_MODULES = (problems, retrieval)
+_MODULES = (problems, memory, retrieval, relational, streams)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p2_found"](spark, sf_dir)
+    return QUERIES["hybrid_retrieval"](spark, sf_dir)

@@ -9,6 +9,7 @@ from mnemospark.functions import text as T
 from mnemospark.functions.times import to_millis
 from mnemospark.operators import dedupe, entities, fusion, lexical, vectors
 from mnemospark.plans import sql
+from mnemospark.session import materialized
 from mnemospark.sources.tables import table
 
 NOW_MS = 1_461_000_000_000
@@ -58,7 +59,7 @@ def coverage_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_ranking(spark: SparkSession, d: str) -> DataFrame:
     u = _units(spark, d)
-    r = lexical.relevance(_queries(spark, d), u, lexical.field_terms(u))
+    r = lexical.relevance(_queries(spark, d), u, materialized(lexical.field_terms(u)))
     return fusion.ranked(r.where("n_matched > 0"), "relevance").select("query_id", "unit_id", "raw", "coverage", "phrase", "relevance", "rank")
 
 
@@ -73,7 +74,7 @@ def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
     asked = e.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return vectors.top_by_cosine(rows, asked, k=50, floor=0.1).select("query_id", "key", F.round("sim", 4).alias("sim"), "mean", "rank")
+    return vectors.top_by_cosine(rows, asked, k=50, floor=0.1)
 
 
 def entity_lexicon(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +118,11 @@ def source_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    u = _units(spark, d)
-    q = _queries(spark, d)
-    lex = fusion.ranked(lexical.relevance(q, u, lexical.field_terms(u)).where("n_matched > 0"), "relevance")
-    ent = entities.scores(_whole_queries(spark, d), u)
-    return u, lex, ent
+    """Units, lexical and entity rankings, each as a table of its own that is read again."""
+    u = materialized(_units(spark, d))
+    p = materialized(lexical.field_terms(u))
+    lex = fusion.ranked(lexical.relevance(_queries(spark, d), u, p).where("n_matched > 0"), "relevance")
+    return u, materialized(lex), materialized(entities.scores(_whole_queries(spark, d), u))
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     u, lex, ent = _signals(spark, d)
     v = u.where("status = 'confirmed'").select(F.col("unit_id").alias("key"), vectors.hashed_embedding(F.concat_ws("\n", "title", "body")).alias("v"))
     q = _queries(spark, d)
-    vec = vectors.top_by_cosine(v, q.select("query_id", vectors.hashed_embedding("text").alias("v"))).withColumnRenamed("key", "unit_id")
+    vec = materialized(vectors.top_by_cosine(v, q.select("query_id", vectors.hashed_embedding("text").alias("v"))).withColumnRenamed("key", "unit_id"))
     fused = fusion.reciprocal_ranks({"lexical": lex, "vector": vec, "entity": ent})
     seen = fusion.heat(table(spark, d, "seen"), "ref_id", to_millis("at"), NOW_MS).withColumnRenamed("ref_id", "unit_id")
     quality = fusion.source_quality(u, table(spark, d, "originals"))
@@ -161,7 +162,7 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     side = side.join(ent.select("query_id", "unit_id", F.col("rank").alias("entity_rank")), ["query_id", "unit_id"], "left")
     side = side.fillna({"coverage": 0.0, "n_matched": 0, "n_strong": 0, "n_terms": 0}).withColumn("phrase", F.coalesce("phrase", F.lit(False))).withColumn("has_vector", F.lit(True))
     passed = side.withColumn("reason", fusion.gate("recall")).where("reason IS NOT NULL").join(known, "unit_id")
-    hits = passed.select("query_id", "unit_id", F.round(F.col("fused") * (1 + F.col("boost")), 4).alias("score"), F.col("unit_id").alias("lineage"), "terms", "sources", "reason")
+    hits = materialized(passed.select("query_id", "unit_id", F.round(F.col("fused") * (1 + F.col("boost")), 4).alias("score"), F.col("unit_id").alias("lineage"), "terms", "sources", "reason"))
     folded = dedupe.greedy(hits.drop("reason")).where("kept")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
     return folded.withColumn("rank", F.row_number().over(best)).where("rank <= 12").join(hits.select("query_id", "unit_id", "reason"), ["query_id", "unit_id"]).select("query_id", "unit_id", "score", "rank", "reason")
@@ -211,7 +212,7 @@ lengths AS (SELECT unit_id, len({sql.terms('title')}) + len({sql.terms('body')})
 total AS (SELECT count(*) AS n, avg(tokens) AS mean FROM lengths)"""
 BM25 = """f AS (SELECT term, unit_id, sum(CASE field WHEN 'title' THEN 3.0 WHEN 'ent' THEN 2.0 WHEN 'tag' THEN 1.5 ELSE 1.0 END)::DOUBLE AS f FROM tf GROUP BY ALL),
 nt AS (SELECT term, count(*) AS nt FROM f GROUP BY ALL),
-scores AS (SELECT query_id, unit_id, sum(CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) > 0 THEN ln((n - nt + 0.5) / (nt + 0.5)) ELSE 1e-6 END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tokens / mean))) AS score
+scores AS (SELECT query_id, unit_id, round(sum(CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) > 0 THEN ln((n - nt + 0.5) / (nt + 0.5)) ELSE 1e-6 END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tokens / mean))), 6) AS score
   FROM asked JOIN nt USING (term) JOIN f USING (term) JOIN lengths USING (unit_id) CROSS JOIN total GROUP BY ALL)"""
 DOC_UNITS = "units AS (SELECT doc_id AS unit_id, '' AS title, coalesce(text, '') AS body, []::VARCHAR[] AS entities, []::VARCHAR[] AS tags FROM documents)"
 WEIGHTS = """df AS (SELECT term, count(DISTINCT unit_id) AS df FROM tf GROUP BY ALL),
@@ -253,7 +254,7 @@ ORACLES = {
     "cosine_top": f"""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, r.vec_id AS key, round(list_dot_product(q.v, r.v), 6) AS sim FROM u q, u r WHERE q.vec_id % {EVERY} = 0),
         m AS (SELECT *, round(avg(sim) OVER (PARTITION BY query_id), 4) AS mean FROM s)
-        SELECT query_id, key, round(sim, 4) AS sim, mean, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, key) AS rank FROM m WHERE sim >= 0.1 QUALIFY rank <= 50""",
+        SELECT query_id, key, sim, mean, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, key) AS rank FROM m WHERE sim >= 0.1 QUALIFY rank <= 50""",
     "same_texts": "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL QUALIFY n > 1",
     "version_overlap": """WITH e AS (SELECT DISTINCT episode_id, version, coalesce(source_raw_ids, []) AS s FROM episodes), v AS (SELECT *, lag(s) OVER (PARTITION BY episode_id ORDER BY version) AS p FROM e)
         SELECT episode_id, version, round(coalesce(len(list_intersect(s, p))::DOUBLE / nullif(len(list_distinct(list_concat(s, p))), 0), 0), 4) AS overlap, len(list_distinct(list_filter(s, lambda x: NOT list_contains(p, x))))::INT AS n_new FROM v WHERE p IS NOT NULL""",

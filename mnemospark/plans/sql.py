@@ -11,7 +11,8 @@ def _q(s: str) -> str:
 
 def normalized(c: str) -> str:
     a, b = T._folds()
-    return f"lower(translate(coalesce({c}, ''), {_q(a)}, {_q(b)}))"
+    # a dotted capital I becomes two characters in lower case, as in the other engine
+    return f"lower(replace(translate(coalesce({c}, ''), {_q(a)}, {_q(b)}), 'İ', 'i' || chr(775)))"
 
 
 def terms(c: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "mnemospark", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
         if not held:
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what follows reads them and does not repeat
+    the work, and a lost executor takes nothing with it."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
