@@ -170,14 +170,15 @@ def document_items(documents: DataFrame, budgets: DataFrame, folder: str = TOKEN
     """Items of all documents for all budgets, sizes in tokens of the budget's tokenizer.
 
     The budgets are read to the driver: their table is a setting of a few rows and does not
-    grow. Those without a tokenizer or a positive capacity hold nothing.
+    grow. Those without a tokenizer or a positive capacity hold nothing, and a document
+    without a doc_id cannot be named and has no item.
     """
     by: dict[str, list[tuple[int, int]]] = {}
     for r in budgets.where("capacity > 0 AND tokenizer IS NOT NULL AND budget_id IS NOT NULL").select("budget_id", "tokenizer", "capacity").distinct().orderBy("budget_id").collect():
         by.setdefault(r["tokenizer"], []).append((int(r["budget_id"]), int(r["capacity"])))
     items = None
     for t in sorted(by):
-        sizes = token_counts(documents, tokenizer=t, folder=folder).select(F.col("doc_id").cast("long").alias("key"), "n_tokens")
+        sizes = token_counts(documents.where(F.col("doc_id").isNotNull()), tokenizer=t, folder=folder).select(F.col("doc_id").cast("long").alias("key"), "n_tokens")
         one = items_of(sizes, by[t])
         items = one if items is None else items.unionByName(one)
     if items is None:

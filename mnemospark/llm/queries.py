@@ -65,7 +65,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+    return truncation.judged(table(spark, sf_dir, "documents")).where("cut").select("doc_id").distinct()
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

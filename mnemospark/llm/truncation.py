@@ -10,7 +10,7 @@ its writer meant is compared with all texts. For the longest tail of its words t
 elsewhere, it is counted how often a sentence ended there and how often it went on. Endings
 that go on are incomplete wherever they stand (a transfer stops at any length); at a
 significant length an ending that is merely not closed is cut too. Copies of a cut text,
-known by their last words, are cut as well.
+known by their last characters, are cut as well.
 """
 
 from __future__ import annotations
@@ -90,35 +90,41 @@ def _bit(a: str, b: str) -> int:
 
 def _judge_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for key, tail in zip(pdf["row"], pdf["tail"]):
+        kinds, contexts, bits = [], [], []
+        for tail in pdf["tail"]:
             kind, bare = ending(tail)
             words = _words(bare) if kind == "ask" else []
             # a tail of one word has nothing before it that a cut could be told by
             if kind == "ask" and len(words) < 2:
                 kind = "closed"
-            out.append((key, kind, _contexts(words, len(words)), _bit(words[-2], words[-1]) if kind == "ask" else None))
-        yield pd.DataFrame(out, columns=["row", "ending", "contexts", "bit"]).astype({"bit": "Int64"})
+            kinds.append(kind)
+            contexts.append(_contexts(words, len(words)))
+            bits.append(_bit(words[-2], words[-1]) if kind == "ask" else None)
+        yield pdf.drop(columns="tail").assign(ending=kinds, contexts=contexts, bit=pd.array(bits, dtype="Int64"))
 
 
 def tails(documents: DataFrame) -> DataFrame:
     """One row per text that shows something: source, lengths, ending and tails to compare.
 
     ``line`` is the last line where it is short enough to be a closing line, ``before`` a
-    number of what stands before it, and ``same`` a number of the last words.
+    number of what stands before it, and ``tail_id`` a number of the last ``TAIL`` characters,
+    by which copies are known.
     """
     text = F.rtrim(F.col("text"), F.lit(" \t\n\r\u000b\f\u0085\u00a0\u2007\u202f\u3000"))
     last = F.substring_index(F.translate(text, "\r", "\n"), "\n", -1)
-    d = documents.where(F.col("text").rlike(r"\S")).select(
+    tail = F.substring(text, -TAIL, TAIL)
+    d = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
         F.when(F.length(last) <= 40, F.trim(last)).alias("line"),
         F.xxhash64(F.substring(text, F.lit(1), F.length(text) - F.length(last))).alias("before"),
-        F.xxhash64(F.substring(text, -48, 48)).alias("same"),
-        F.substring(text, -TAIL, TAIL).alias("tail"),
+        F.xxhash64(tail).alias("tail_id"),
+        tail.alias("tail"),
     )
-    d = d.withColumn("row", F.col("doc_id"))
-    judged = d.select("row", "tail").mapInPandas(_judge_tails, "row long, ending string, contexts array<string>, bit long")
-    return d.drop("tail").join(judged, "row").drop("row")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return d.mapInPandas(
+        _judge_tails,
+        f"doc_id {kind}, source string, chars int, bytes int, line string, before long, tail_id long, ending string, contexts array<string>, bit long",
+    )
 
 
 def hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALSE_DISCOVERY) -> DataFrame:
@@ -219,24 +225,24 @@ def judged(documents: DataFrame) -> DataFrame:
     t = spark.read.schema(found.schema).parquet(f"{folder}/tails")
     lengths = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")])
     # copies of one text end at one length for one reason, and count once
-    units = t.select("source", "same", F.explode(lengths).alias("l")).select("source", "same", "l.*").distinct()
+    units = t.select("source", "tail_id", F.explode(lengths).alias("l")).select("source", "tail_id", "l.*").distinct()
     limits = hazards(units).where("limit").select("source", "unit", "length")
     by_chars = limits.where("unit = 'chars'").select("source", F.col("length").alias("chars"), F.lit(True).alias("at_chars"))
     by_bytes = limits.where("unit = 'bytes'").select("source", F.col("length").alias("bytes"), F.lit(True).alias("at_bytes"))
     closing = t.where("line IS NOT NULL AND line <> ''").select("line", "before").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("closes")).where(F.col("closes") >= CLOSING)
     asked = t.where("ending = 'ask'")
-    contexts = asked.select("doc_id", F.posexplode("contexts").alias("k", "context"))
+    contexts = asked.select("tail_id", "contexts").distinct().select("tail_id", F.posexplode("contexts").alias("k", "context"))
     seen = (
         contexts.join(ending_statistics(documents, asked), "context")
         .where(F.col("n") >= LEAST)
-        .groupBy("doc_id")
+        .groupBy("tail_id")
         .agg(F.min_by(F.struct("n", "ended"), "k").alias("best"))
     )
     rows = (
         t.join(by_chars, ["source", "chars"], "left")
         .join(by_bytes, ["source", "bytes"], "left")
         .join(closing, "line", "left")
-        .join(seen, "doc_id", "left")
+        .join(seen, "tail_id", "left")
     )
     at_limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
     goes_on = F.col("best").isNull() | (F.col("best.ended") <= F.col("best.n") * ENDS_HERE)
@@ -247,9 +253,9 @@ def judged(documents: DataFrame) -> DataFrame:
         .when(at_limit, F.lit("length limit"))
         .when(goes_on, F.lit("sentence goes on"))
     )
-    rows = rows.select("doc_id", "source", "same", "ending", "closes", reason.alias("reason"))
-    copies = rows.where("reason IS NOT NULL").select("same").distinct().withColumn("copied", F.lit(True))
-    return rows.join(copies, "same", "left").select(
+    rows = rows.select("doc_id", "source", "tail_id", reason.alias("reason"))
+    copies = rows.where("reason IS NOT NULL").select("tail_id").distinct().withColumn("copied", F.lit(True))
+    return rows.join(copies, "tail_id", "left").select(
         "doc_id", "source",
         (F.col("reason").isNotNull() | F.coalesce("copied", F.lit(False))).alias("cut"),
         F.coalesce("reason", F.when(F.col("copied"), F.lit("copy of a cut text"))).alias("reason"),
