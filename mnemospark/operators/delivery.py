@@ -37,16 +37,24 @@ def one_copy(df: DataFrame, ingested_ms: Column, keys: tuple[str, ...] = KEYS) -
     of the identifier cannot be matched and all pass.
     """
     cols = df.columns
-    more = repeated(df, ingested_ms, keys).select(*[F.col(k).alias(f"_m_{k}") for k in keys])
+    own = "_m"
+    while any(c.startswith(own) for c in cols):
+        own = "_" + own
+    more = repeated(df, ingested_ms, keys).select(*[F.col(k).alias(f"{own}_{k}") for k in keys])
     at = F.coalesce(ingested_ms, F.lit(2**62))
-    tagged = df.join(more, [df[k] == more[f"_m_{k}"] for k in keys], "left")
-    single = tagged.where(F.col(f"_m_{keys[0]}").isNull()).select(*[df[c] for c in cols])
+    tagged = df.join(more, [df[k] == more[f"{own}_{k}"] for k in keys], "left")
+    single = tagged.where(F.col(f"{own}_{keys[0]}").isNull()).select(*[df[c] for c in cols])
     orderable = [F.col(c) if not t.startswith("map") else F.to_json(c) for c, t in df.dtypes]
     rank = F.struct(at.alias("_at"), F.xxhash64(*orderable).alias("_tie"))
     best = (
-        tagged.where(F.col(f"_m_{keys[0]}").isNotNull())
-        .groupBy(*[F.col(f"_m_{k}") for k in keys])
+        tagged.where(F.col(f"{own}_{keys[0]}").isNotNull())
+        .groupBy(*[F.col(f"{own}_{k}") for k in keys])
         .agg(F.min_by(F.struct(*[df[c] for c in cols]), rank).alias("_row"))
         .select("_row.*")
     )
     return single.unionByName(best)
+
+
+def absorbed(stored: DataFrame, arriving: DataFrame, ingested_ms: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Stored and newly delivered rows as one table with one copy of each message."""
+    return one_copy(stored.unionByName(arriving, allowMissingColumns=True), ingested_ms, keys)

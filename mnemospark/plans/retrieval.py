@@ -43,13 +43,13 @@ def document_phrases(spark: SparkSession, d: str) -> DataFrame:
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
     u = lexical.document_units(table(spark, d, "documents"))
     best = lexical.pool(lexical.bm25(lexical.analysed(_queries(spark, d)), lexical.field_terms(u), u), 20)
-    return best.select("query_id", "unit_id", F.round("score", 4).alias("score"), "rank")
+    return best.select("query_id", "unit_id", "score", "rank")
 
 
 def bm25_episodes(spark: SparkSession, d: str) -> DataFrame:
     u = _units(spark, d)
     best = lexical.pool(lexical.bm25(lexical.analysed(_queries(spark, d)), lexical.field_terms(u), u), 50)
-    return best.select("query_id", "unit_id", F.round("score", 4).alias("score"), "rank")
+    return best.select("query_id", "unit_id", "score", "rank")
 
 
 def coverage_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -234,8 +234,8 @@ ORACLES = {
     "informative_terms": f"WITH {QUERIED} SELECT * FROM asked",
     "document_phrases": f"""SELECT doc_id, length({sql.phrase('text')})::INT AS n_phrase, len(regexp_extract_all({sql.normalized('text')}, '[{T.CJK}]'))::INT AS n_cjk,
         ceil(w + (l - w) / 3.5::DOUBLE)::INT AS estimate FROM (SELECT doc_id, text, length(coalesce(text, '')) AS l, length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[{T.CJK}]', '', 'g')) AS w FROM documents)""",
-    "bm25_documents": f"WITH {DOC_UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=20)} SELECT query_id, unit_id, round(score, 4) AS score, rank FROM pooled",
-    "bm25_episodes": f"WITH {UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=50)} SELECT query_id, unit_id, round(score, 4) AS score, rank FROM pooled",
+    "bm25_documents": f"WITH {DOC_UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=20)} SELECT query_id, unit_id, score, rank FROM pooled",
+    "bm25_episodes": f"WITH {UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=50)} SELECT query_id, unit_id, score, rank FROM pooled",
     "coverage_weights": f"WITH {UNITS}, {QUERIED}, {POSTINGS}, {WEIGHTS} SELECT * FROM weights",
     "pool_then_filter": f"WITH {UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=200)} SELECT query_id, count(*) AS n_pool, count(*) FILTER (status = 'confirmed') AS n_kept FROM pooled JOIN units USING (unit_id) GROUP BY 1",
     "entity_lexicon": f"WITH {UNITS}, {LEXICON} SELECT * FROM lexicon",
