@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.operators.versions import latest
+from mnemospark.session import materialized
 
 K1, B = 1.2, 0.75
 FIELDS = {"title": 3.0, "body": 1.0, "ent": 2.0, "tag": 1.5}
@@ -148,7 +149,7 @@ def relevance(queries: DataFrame, units: DataFrame, postings: DataFrame, size: i
     raw score of what remains is set against the best of its query.
     """
     asked = analysed(queries)
-    best = pool(bm25(asked, postings, units), size)
+    best = materialized(pool(bm25(asked, postings, units), size))  # read more than once below
     kept = best.join(units.where("status = 'confirmed'").select("unit_id", "title", "body"), "unit_id")
     scored = kept.join(coverage(weights(asked, postings, units), postings, kept), ["query_id", "unit_id"])
     wanted = queries.select("query_id", T.phrase("text").alias("_p"))

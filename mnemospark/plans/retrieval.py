@@ -144,9 +144,10 @@ def two_searches(spark: SparkSession, d: str) -> DataFrame:
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The whole engine: three rankings, fusion, boosts, gate, folding, the best twelve."""
     u, lex, ent = _signals(spark, d)
-    v = u.where("status = 'confirmed'").select(F.col("unit_id").alias("key"), vectors.hashed_embedding(F.concat_ws("\n", "title", "body")).alias("v"))
-    q = _queries(spark, d)
-    vec = materialized(vectors.top_by_cosine(v, q.select("query_id", vectors.hashed_embedding("text").alias("v"))).withColumnRenamed("key", "unit_id"))
+    # embeddings are made once and kept as a table
+    v = materialized(u.where("status = 'confirmed'").select(F.col("unit_id").alias("key"), vectors.hashed_embedding(F.concat_ws("\n", "title", "body")).alias("v")))
+    q = materialized(_queries(spark, d).select("query_id", vectors.hashed_embedding("text").alias("v")))
+    vec = materialized(vectors.top_by_cosine(v, q).withColumnRenamed("key", "unit_id"))
     fused = fusion.reciprocal_ranks({"lexical": lex, "vector": vec, "entity": ent})
     seen = fusion.heat(table(spark, d, "seen"), "ref_id", to_millis("at"), NOW_MS).withColumnRenamed("ref_id", "unit_id")
     quality = fusion.source_quality(u, table(spark, d, "originals"))
