@@ -3,6 +3,8 @@ size, and merged spans."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,19 +69,24 @@ def pack_windows(messages: DataFrame, gap_ms: int = WINDOW_GAP_MS, chars: int =
     slots = slots.withColumn("_new", opened).withColumn("stretch", F.sum("_new").over(slot)).select("conversation_id", "slot", "stretch")
     m = m.withColumn("slot", F.floor(F.col("ms") / gap_ms)).join(slots, ["conversation_id", "slot"]).drop("slot")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "ord"], kind="stable")
-        window, size, held = 0, 0, 0
-        numbers = []
-        for c in pdf["chars"]:
-            if held and (held >= most or size + c > chars):
-                window, size, held = window + 1, 0, 0
-            numbers.append(window)
-            size, held = size + c, held + 1
-        return pdf.assign(window=numbers)
-
     schema = T.StructType([*m.schema.fields, T.StructField("window", T.IntegerType())])
-    return m.groupBy("conversation_id", "stretch").applyInPandas(fold, schema)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come stretch by stretch and in order, so all that is carried on is one window
+        at, window, size, held = None, 0, 0, 0
+        for pdf in batches:
+            numbers = []
+            for c, s, n in zip(pdf["conversation_id"], pdf["stretch"], pdf["chars"]):
+                if (c, s) != at:
+                    at, window, size, held = (c, s), 0, 0, 0
+                if held and (held >= most or size + n > chars):
+                    window, size, held = window + 1, 0, 0
+                numbers.append(window)
+                size, held = size + n, held + 1
+            yield pdf.assign(window=numbers)
+
+    keys = ["conversation_id", "stretch"]
+    return m.repartition(*keys).sortWithinPartitions(*keys, "ms", "ord").mapInPandas(fold, schema)
 
 
 def merged_spans(spans: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
