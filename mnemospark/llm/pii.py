@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from io import BytesIO
 from pathlib import Path
 
 import numpy as np
@@ -93,8 +94,9 @@ def plausible(kind: str, text: str) -> bool:
 
 
 @lru_cache(2)
-def _model(path: str) -> Tagger:
-    return Tagger.load(path)
+def _model(content: bytes) -> Tagger:
+    """One tagger per worker process."""
+    return Tagger.load(BytesIO(content))
 
 
 def find(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]]:
@@ -115,9 +117,9 @@ def find(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]]:
     return out
 
 
-def _tag(path: str):
+def _tag(held):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(path)
+        model = _model(held.value)
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 part = pdf["segment"].iloc[at : at + CHUNK].tolist()
@@ -136,8 +138,9 @@ def mentions(parts: DataFrame, model: str = MODEL) -> DataFrame:
     spark = parts.sparkSession
     # tagging is costly for its bytes: parts by number and not by size
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the model is a file of some 50 kB, read by the driver
     distinct = parts.select("segment").where(F.length("segment") > 1).distinct().repartition(n)
-    return distinct.mapInPandas(_tag(model), "segment string, mentions array<struct<start:int,end:int,type:string>>")
+    return distinct.mapInPandas(_tag(spark.sparkContext.broadcast(Path(model).read_bytes())), "segment string, mentions array<struct<start:int,end:int,type:string>>")
 
 
 def found(texts: DataFrame, model: str = MODEL) -> DataFrame:
