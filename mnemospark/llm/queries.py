@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import conversations, packing, pii, tokens, truncation, unify
+from mnemospark.plans.problems import millis_sql
 from mnemospark.sources.tables import table
 
 
@@ -78,4 +79,22 @@ QUERIES = {
     "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_rebuilt": p4_rebuilt, "p6_ids": p6_ids,
     "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares,
 }
-ORACLES: dict[str, str] = {}
+# Characters that show nothing, for the other engine's regular expressions.
+_BLANK = r"\s\pZ\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{2800}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+WITH o AS (SELECT *, row_number() OVER () AS rn FROM originals),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY conversation_id, coalesce(item_id, 'row ' || rn) ORDER BY rn) = 1),
+s AS (SELECT conversation_id, rn, {millis_sql('created_at')} AS ms, speaker, coalesce(regexp_matches(content, '[^{_BLANK}]'), false) AS v
+  FROM f LEFT JOIN (SELECT DISTINCT lower(trim(alias)) AS alias, speaker FROM speakers) ON alias = lower(regexp_replace(role, '^\\s+|\\s+$', '', 'g'))),
+c AS (SELECT conversation_id, coalesce(bool_or(v AND speaker IN ('user', 'assistant')), false) AS shown, bool_or(speaker IS NULL OR ms IS NULL) AS odd FROM s GROUP BY 1),
+t AS (SELECT * FROM s WHERE ms IS NOT NULL AND speaker IN ('user', 'assistant')),
+n AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY conversation_id ORDER BY ms, rn) THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conversation_id ORDER BY ms, rn ROWS UNBOUNDED PRECEDING) AS turn FROM n),
+r AS (SELECT conversation_id, turn, any_value(speaker) AS speaker, bool_or(v) AS v FROM g GROUP BY 1, 2),
+a AS (SELECT *, coalesce(lead(v) OVER (PARTITION BY conversation_id ORDER BY turn), false) AS answered FROM r),
+j AS (SELECT conversation_id, bool_or(speaker = 'user' AND v AND NOT answered) AS unanswered, bool_or(turn = 1 AND speaker = 'assistant') AS begun FROM a GROUP BY 1)
+SELECT conversation_id, 'empty' AS defect FROM c WHERE NOT shown
+UNION ALL SELECT conversation_id, 'broken' FROM c LEFT JOIN j USING (conversation_id) WHERE shown AND (odd OR coalesce(begun, false))
+UNION ALL SELECT conversation_id, 'unanswered' FROM c JOIN j USING (conversation_id) WHERE shown AND unanswered""",
+}
