@@ -158,5 +158,5 @@ def relevance(queries: DataFrame, units: DataFrame, postings: DataFrame, size: i
     top = F.max("score").over(Window.partitionBy("query_id"))
     value = RELEVANCE["coverage"] * F.col("coverage") + RELEVANCE["lexical"] * F.when(top > 0, F.col("score") / top).otherwise(0.0) + F.when(F.col("phrase"), RELEVANCE["phrase"]).otherwise(0.0)
     return scored.withColumn("relevance", F.round(F.least(F.lit(1.0), value), 4)).select(
-        "query_id", "unit_id", F.round("score", 4).alias("raw"), "coverage", "n_matched", "n_strong", "n_terms", "phrase", "relevance"
+        "query_id", "unit_id", F.col("score").alias("raw"), "coverage", "n_matched", "n_strong", "n_terms", "phrase", "relevance"
     )

@@ -229,8 +229,22 @@ hits AS (SELECT entity, unit_id, max(factor) AS factor FROM (
 escores AS (SELECT query_id, unit_id, round(sum(weight * factor), 4) AS score FROM named JOIN hits USING (entity) GROUP BY ALL),
 eranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM escores QUALIFY rank <= 50)"""
 POOL = "pooled AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM scores QUALIFY rank <= {n})"
+WANTED = f"""wanted AS (SELECT query_id, CASE WHEN length(p) >= 4 OR regexp_matches(p, '[{T.CJK}].*[{T.CJK}]') THEN p END AS p FROM (SELECT query_id, {sql.phrase('text')} AS p FROM queries))"""
+LEXICAL = f"""kept AS (SELECT query_id, unit_id, score, title, body FROM pooled JOIN units USING (unit_id) WHERE status = 'confirmed'),
+tw AS (SELECT query_id, sum(weight) AS whole FROM weights GROUP BY 1), ut AS (SELECT DISTINCT unit_id, term FROM tf),
+hit AS (SELECT query_id, unit_id, sum(weight) AS part, count(*) AS n_matched FROM kept JOIN weights USING (query_id) JOIN ut USING (unit_id, term) GROUP BY ALL),
+scored AS (SELECT query_id, unit_id, score AS raw, round(coalesce(part / whole, 0), 4) AS coverage, coalesce(n_matched, 0) AS n_matched,
+  coalesce(contains({sql.phrase("concat_ws(' ', title, body)")}, p), false) AS phrase, score / max(score) OVER (PARTITION BY query_id) AS share
+  FROM kept LEFT JOIN hit USING (query_id, unit_id) LEFT JOIN tw USING (query_id) JOIN wanted USING (query_id)),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, unit_id) AS rank FROM (
+  SELECT query_id, unit_id, raw, coverage, phrase, round(least(1, 0.65::DOUBLE * coverage + 0.35::DOUBLE * share + CASE WHEN phrase THEN 0.15::DOUBLE ELSE 0 END), 4) AS relevance FROM scored WHERE n_matched > 0) QUALIFY rank <= 50)"""
+FUSED = """signals AS (SELECT query_id, unit_id, rank, 'lexical' AS signal, 1.0::DOUBLE AS w FROM lexical UNION ALL SELECT query_id, unit_id, rank, 'entity', 0.5::DOUBLE FROM eranked),
+best AS (SELECT query_id, sum(w) / 61 AS best FROM (SELECT DISTINCT query_id, signal, w FROM signals) GROUP BY 1)"""
 
 ORACLES = {
+    "lexical_ranking": f"WITH {UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=200)}, {WEIGHTS}, {WANTED}, {LEXICAL} SELECT query_id, unit_id, raw, coverage, phrase, relevance, rank FROM lexical",
+    "rank_fusion": f"""WITH {UNITS}, {QUERIED}, {POSTINGS}, {BM25}, {POOL.format(n=200)}, {WEIGHTS}, {WANTED}, {LEXICAL}, {LEXICON}, {ENTITY}, {FUSED}
+        SELECT query_id, unit_id, round(sum(w / (60 + rank)) / best, 6) AS fused FROM signals JOIN best USING (query_id) GROUP BY query_id, unit_id, best""",
     "term_df": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({sql.terms('text')})) AS term FROM documents) GROUP BY term",
     "informative_terms": f"WITH {QUERIED} SELECT * FROM asked",
     "document_phrases": f"""SELECT doc_id, length({sql.phrase('text')})::INT AS n_phrase, len(regexp_extract_all({sql.normalized('text')}, '[{T.CJK}]'))::INT AS n_cjk,
