@@ -36,10 +36,12 @@ FAMILY_TAIL = "castle brook wether low sby dale ingham field egard acker mont hu
 MORE_FAMILY = "Smith Miller Brown Schmidt Weber Keller Dubois Moreau Garcia Lopez Navarro Jensen Novak Rossi Kowalski Larsson Becker Martin Dupont Fischer".split()
 STREETS = "Ninefold Way|Wickerby Row|Gull Terrace|Tinder Avenue|Pewter Hill|Juniper Court|Hollow Fern Close|Old Kiln Drive|Copperleaf Lane|Saltgrass Road|Marrow Street".split("|")
 TOWNS = "Quillmere Saltgrass Emberfold Larkmoor Wickerby Tarnhollow".split()
+SHORT = {"Road": "Rd", "Street": "St", "Avenue": "Ave", "Drive": "Dr", "Lane": "Ln", "Close": "Cl", "Terrace": "Ter", "Court": "Ct"}
 STREETS_ZH = "荻花大道 旧窑胡同 蕨园西路 纸灯巷 九层弄 慢板街 松涛路".split()
 CITIES_ZH = "砚州市 青梧市 霁川市 云栎市 盐草县".split()
 DISTRICTS_ZH = "荻港区 松涛区 砚北区 南窑街道 渡口镇".split()
 
+_STREETS = STREETS + [s.replace(a, b) + r"\.?" for s in STREETS for a, b in SHORT.items() if s.endswith(a)]
 _HAN_NUMBER = "零〇一二三四五六七八九十百两"
 _RULES: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"[A-Za-z0-9_.+-]+(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}| \(at\) [A-Za-z0-9-]+(?: \(dot\) [A-Za-z0-9-]+)+| at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)")),
@@ -49,7 +51,7 @@ _RULES: list[tuple[str, re.Pattern]] = [
         r"|1[3-9]\d[ .-]?\d{4}[ .-]?\d{4}|0\d{2,3}[-/ ]\d{7,8}|07\d{3} ?\d{6})(?: ?ext\. ?\d{1,4})?(?![\d-])")),
     ("phone", re.compile(r"(?<=[^零〇一二三四五六七八九幺])[零〇一二三四五六七八九幺]{11}(?![零〇一二三四五六七八九])|^[零〇一二三四五六七八九幺]{11}(?![零〇一二三四五六七八九])")),
     ("address", re.compile(
-        rf"(?:Flat \d+, ?)?\d{{1,4}}[A-Z]? (?:{'|'.join(STREETS)})(?:, ?Apt \d+)?(?:,? (?:{'|'.join(TOWNS)})(?: [A-Z]{{2}}\d \d[A-Z]{{2}}| \d{{5}})?)?|(?:{'|'.join(s.upper() for s in STREETS)}) \d{{1,4}}")),
+        rf"(?:Flat \d+, ?)?\d{{1,4}}[A-Z]? (?:{'|'.join(_STREETS)})(?![A-Za-z])(?:, ?Apt \d+)?(?:,? (?:{'|'.join(TOWNS)})(?: [A-Z]{{2}}\d \d[A-Z]{{2}}| \d{{5}})?)?|(?:{'|'.join(s.upper() for s in STREETS)}) \d{{1,4}}")),
     ("address", re.compile(
         rf"\d{{1,4}}(?: bis)?, (?:rue|impasse|avenue|allée) (?:des|du|de la|de|d') ?\w+(?:, \d{{5}} \w+)?|(?:Calle|Avenida|Plaza) (?:del|de la|de) \w+,? \d{{1,4}}(?:, \d{{5}} \w+)?"
         rf"|(?:Farnweg|Kleine Ofengasse|Amselgrund) \d{{1,4}}[a-z]?(?:, \d{{5}} \w+)?")),
@@ -172,7 +174,9 @@ class Maker:
         if re.search(r"weg|gasse|grund", like):
             return r.choice(["Farnweg", "Kleine Ofengasse", "Amselgrund", "Lindenstraße", "Bahnhofstraße", "Am Markt"]) + f" {number}" + r.choice(["", "a", f", {d(5)} {r.choice(TOWNS)}"])
         street = r.choice(STREETS) if r.random() < 0.75 else r.choice(["Mill", "Church", "Oak", "Station", "Victoria", "Harbour"]) + " " + r.choice(["Road", "Street", "Lane", "Avenue", "Drive", "Close"])
-        return r.choice([f"{number} {street}", f"{number} {street}", f"{number}B {street}, Apt {r.randint(1, 60)}, {r.choice(TOWNS)} LK{d(1)} {d(1)}QD", f"Flat {r.randint(1, 20)}, {number} {street}", f"{number} {street}, {r.choice(TOWNS)}", f"{number} {street} {r.choice(TOWNS)} 00{d(3)}", f"{street.upper()} {number}"])
+        long, short = r.choice(list(SHORT.items()))
+        brief = (street.replace(long, short) if street.endswith(long) else street) + r.choice(["", "."])
+        return r.choice([f"{number} {street}", f"{number} {street}", f"{number} {brief}", f"{number}B {street}, Apt {r.randint(1, 60)}, {r.choice(TOWNS)} LK{d(1)} {d(1)}QD", f"Flat {r.randint(1, 20)}, {number} {street}", f"{number} {street}, {r.choice(TOWNS)}", f"{number} {street} {r.choice(TOWNS)} 00{d(3)}", f"{street.upper()} {number}"])
 
     def make(self, kind: str, like: str) -> str:
         return getattr(self, kind)(like) if kind in ("name", "address") else getattr(self, kind)()
@@ -238,11 +242,14 @@ def examples(texts: list[str], seed: int = 5, limit: int = SAMPLE) -> list[tuple
     out = [tagged(p, f) for p, f in with_] + [tagged(p, []) for p in without]
     for p, f in with_:
         out.append(renewed(p, f, maker, 0.25))
+    # what is said most often must not be taken for a mention, and is shown more often
+    out += 4 * [tagged(p, []) for p in without[:1500]]
     r.shuffle(out)
     return out
 
 
-def main(originals: str, episodes: str) -> None:
+def main(originals: str, episodes: str, start: str | None = None) -> None:
+    """Trains from fresh parameters, or goes on from a saved model for a few epochs."""
     import pyarrow.dataset as ds
 
     texts: list[str] = []
@@ -250,12 +257,12 @@ def main(originals: str, episodes: str) -> None:
         texts += [x for x in ds.dataset(path).to_table(columns=["content"]).column(0).to_pylist() if x]
     rows = examples(texts)
     held, rows = rows[: len(rows) // 20], rows[len(rows) // 20 :]
-    model = Tagger.fresh()
-    model.fit(rows, epochs=10, tell=lambda e, x: print("epoch", e, "loss", round(x, 4), flush=True))
+    model = Tagger.load(start) if start else Tagger.fresh()
+    model.fit(rows, epochs=2 if start else 10, rate=0.001 if start else 0.004, tell=lambda e, x: print("epoch", e, "loss", round(x, 4), flush=True))
     right = sum(bool((model.viterbi(model.emissions(i[None]))[0] == t).all()) for i, t in held)
     print(f"held-out segments tagged exactly: {right / len(held):.4f} of {len(held)}")
     model.save(Path(__file__).with_name("pii_model.npz"))
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:4])
