@@ -38,8 +38,12 @@ ENDS_HERE = 0.03
 ORDERS = (10, 7, 5, 4, 3, 2)
 #: A tail must occur this often elsewhere to be judged by; shorter ones are tried otherwise.
 LEAST = 2
-#: A last line that closes at least this many different texts is a closing line.
+#: A last line that closes at least this many different texts may be a closing line.
 CLOSING = 4
+#: It is one when its words end a text in at least this share of the places where they end one or go on.
+CLOSES_HERE = 0.5
+#: Characters that a closing line has at most.
+SHORT = 40
 #: Bits of the filter of tails; its size does not depend on the data.
 FILTER_BITS = 1 << 22
 #: Characters from the end that decide about an ending.
@@ -84,14 +88,19 @@ def _contexts(words: list[str], end: int) -> list[str]:
     return [" ".join(words[end - n : end]) for n in ORDERS if end >= n]
 
 
+def _stem(words: list[str]) -> str:
+    """The words of a short line, told from tails of as many words."""
+    return "\n\n" + " ".join(words)
+
+
 def _bit(a: str, b: str) -> int:
     return zlib.crc32(f"{a} {b}".encode()) % (FILTER_BITS - 1) + 1
 
 
 def _judge_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        kinds, contexts, bits = [], [], []
-        for tail in pdf["tail"]:
+        kinds, contexts, bits, stems, stem_bits = [], [], [], [], []
+        for tail, line in zip(pdf["tail"], pdf["line"]):
             kind, bare = ending(tail)
             words = _words(bare) if kind == "ask" else []
             # a tail of one word has nothing before it that a cut could be told by
@@ -100,22 +109,25 @@ def _judge_tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kinds.append(kind)
             contexts.append(_contexts(words, len(words)))
             bits.append(_bit(words[-2], words[-1]) if kind == "ask" else None)
-        yield pdf.drop(columns="tail").assign(ending=kinds, contexts=contexts, bit=pd.array(bits, dtype="Int64"))
+            own = _words(_SOFT.sub("", line)) if line and kind in ("ask", "open") else []
+            stems.append(_stem(own) if own else None)
+            stem_bits.append(_bit(own[-2] if len(own) > 1 else "\n", own[-1]) if own else None)
+        yield pdf.drop(columns="tail").assign(ending=kinds, contexts=contexts, bit=pd.array(bits, dtype="Int64"), stem=stems, stem_bit=pd.array(stem_bits, dtype="Int64"))
 
 
 def tails(documents: DataFrame) -> DataFrame:
     """One row per text that shows something: source, lengths, ending and tails to compare.
 
     ``line`` is the last line where it is short enough to be a closing line, ``before`` a
-    number of what stands before it, and ``tail_id`` a number of the last ``TAIL`` characters,
-    by which copies are known.
+    number of what stands before it, ``stem`` its words where they may be a cut line, and
+    ``tail_id`` a number of the last ``TAIL`` characters, by which copies are known.
     """
     text = F.rtrim(F.col("text"), F.lit(" \t\n\r\u000b\f\u0085\u00a0\u2007\u202f\u3000"))
     last = F.substring_index(F.translate(text, "\r", "\n"), "\n", -1)
     tail = F.substring(text, -TAIL, TAIL)
     d = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
-        F.when(F.length(last) <= 40, F.trim(last)).alias("line"),
+        F.when(F.length(last) <= SHORT, F.trim(last)).alias("line"),
         F.xxhash64(F.substring(text, F.lit(1), F.length(text) - F.length(last))).alias("before"),
         F.xxhash64(tail).alias("tail_id"),
         tail.alias("tail"),
@@ -123,7 +135,7 @@ def tails(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     return d.mapInPandas(
         _judge_tails,
-        f"doc_id {kind}, source string, chars int, bytes int, line string, before long, tail_id long, ending string, contexts array<string>, bit long",
+        f"doc_id {kind}, source string, chars int, bytes int, line string, before long, tail_id long, ending string, contexts array<string>, bit long, stem string, stem_bit long",
     )
 
 
@@ -152,10 +164,10 @@ def hazards(lengths: DataFrame, neighbours: int = NEIGHBOURS, rate: float = FALS
     return n.withColumn("limit", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("rank", "passes")
 
 
-def _events(bits: bytes):
+def _events(bits: bytes, stem_bits: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
-        known: dict[tuple[str, str], bool] = {}
+        wanted, stems = (np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little").astype(bool) for b in (bits, stem_bits))
+        known: dict[tuple[str, str], tuple[bool, bool]] = {}
         ends: Counter = Counter()
         all_: Counter = Counter()
 
@@ -168,19 +180,30 @@ def _events(bits: bytes):
         for pdf in batches:
             for text in pdf["text"]:
                 w = _words(text)
-                for i in range(1, len(w) - 1):
-                    pair = (w[i - 1], w[i])
+                line = sentence = clause = 0  # where the words of each began
+                for i in range(len(w) - 1):
+                    if i:
+                        if w[i - 1] == "\n":
+                            line = i
+                        if w[i - 1] in _STOP:
+                            sentence = i
+                        if not w[i - 1][0].isalnum():
+                            clause = i
+                    pair = (w[i - 1] if i else "\n", w[i])
                     hit = known.get(pair)
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
-                        hit = known[pair] = bool(wanted[_bit(*pair)]) and w[i][0].isalnum()
-                    if not hit:
+                        bit = _bit(*pair)
+                        hit = known[pair] = (bool(wanted[bit]) and w[i][0].isalnum(), bool(stems[bit]))
+                    if not (hit[0] or hit[1]):
                         continue
                     after = w[i + 1]
                     if after in "…～~" or (after == "." and i + 2 < len(w) and w[i + 2] == "."):
                         continue  # a mark that may itself be that of a cut says nothing
-                    found = _contexts(w, i + 1)
+                    found = _contexts(w, i + 1) if i and hit[0] else []
+                    if hit[1]:
+                        found += [_stem(w[a : i + 1]) for a in {line, sentence, clause} if a <= i < a + SHORT]
                     all_.update(found)
                     if after in _STOP or (after in _PARTICLE and (i + 2 == len(w) or w[i + 2] in _STOP)):
                         ends.update(found)
@@ -192,22 +215,26 @@ def _events(bits: bytes):
     return run
 
 
-def ending_statistics(documents: DataFrame, asked: DataFrame) -> DataFrame:
-    """``context, n, ended`` over all texts, of tails whose last two words are asked for.
-
-    The asked pairs go to the tasks as a filter of bits of fixed size; what it lets through
-    by chance finds no partner later. Counts are added up in each task before the shuffle.
-    """
-    positions = asked.where(F.col("bit").isNotNull()).select(F.col("bit")).distinct()
+def _filter(positions: DataFrame) -> bytes:
+    """The bits (column ``bit``) as a filter of fixed size."""
+    positions = positions.where("bit IS NOT NULL").distinct()
     packed = positions.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     flags = np.zeros(FILTER_BITS + 65536, dtype=bool)
     for r in packed.collect():  # at most 129 rows of 4 kB, whatever the data
         start = (r["bucket"] - 1) * 32768 + 1  # bucket 1 begins with number 1
         there = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little").astype(bool)
         flags[max(start, 0) : start + len(there)] |= there[max(-start, 0) :]
+    return np.packbits(flags[:FILTER_BITS], bitorder="little").tobytes()
+
+
+def ending_statistics(documents: DataFrame, asked: DataFrame, stems: DataFrame) -> DataFrame:
+    """``context, n, ended`` over all texts, of tails and stems whose last two words are asked for.
+
+    The asked pairs go to the tasks as filters of bits of fixed size; what they let through
+    by chance finds no partner later. Counts are added up in each task before the shuffle.
+    """
     texts = spread(documents.where(F.col("text").rlike(r"\S")).select("text"))
-    held = np.packbits(flags[:FILTER_BITS], bitorder="little").tobytes()
-    counts = texts.mapInPandas(_events(held), "context string, n long, ended long")
+    counts = texts.mapInPandas(_events(_filter(asked.select("bit")), _filter(stems.select("bit"))), "context string, n long, ended long")
     return counts.groupBy("context").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
 
 
@@ -229,11 +256,20 @@ def judged(documents: DataFrame) -> DataFrame:
     limits = hazards(units).where("limit").select("source", "unit", "length")
     by_chars = limits.where("unit = 'chars'").select("source", F.col("length").alias("chars"), F.lit(True).alias("at_chars"))
     by_bytes = limits.where("unit = 'bytes'").select("source", F.col("length").alias("bytes"), F.lit(True).alias("at_bytes"))
-    closing = t.where("line IS NOT NULL AND line <> ''").select("line", "before").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("closes")).where(F.col("closes") >= CLOSING)
     asked = t.where("ending = 'ask'")
+    closing = t.where("stem IS NOT NULL").select("stem", "stem_bit", "before").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("closes"), F.first("stem_bit").alias("bit")).where(F.col("closes") >= CLOSING)
+    counts = ending_statistics(documents, asked, closing)
+    counts.write.parquet(f"{folder}/counts")
+    counts = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
+    # cut fragments come again too, but their words go on elsewhere; those of a closing line hardly do
+    closing = (
+        closing.join(counts.select(F.col("context").alias("stem"), (F.col("n") - F.col("ended")).alias("on")), "stem", "left")
+        .where(F.col("closes") >= CLOSES_HERE * (F.col("closes") + F.coalesce("on", F.lit(0))))
+        .select("stem", "closes")
+    )
     contexts = asked.select("tail_id", "contexts").distinct().select("tail_id", F.posexplode("contexts").alias("k", "context"))
     seen = (
-        contexts.join(ending_statistics(documents, asked), "context")
+        contexts.join(counts, "context")
         .where(F.col("n") >= LEAST)
         .groupBy("tail_id")
         .agg(F.min_by(F.struct("n", "ended"), "k").alias("best"))
@@ -241,7 +277,7 @@ def judged(documents: DataFrame) -> DataFrame:
     rows = (
         t.join(by_chars, ["source", "chars"], "left")
         .join(by_bytes, ["source", "bytes"], "left")
-        .join(closing, "line", "left")
+        .join(closing, "stem", "left")
         .join(seen, "tail_id", "left")
     )
     at_limit = F.coalesce("at_chars", "at_bytes", F.lit(False))

@@ -80,3 +80,15 @@ def test_awkward_rows(spark):
     shares = {r["source"]: r for r in T.shares(T.judged(docs)).collect()}
     assert set(shares) == {"limited", "free", "s", ""} and shares[""]["n_cut"] == 2
     assert T.judged(docs.limit(0)).count() == 0
+
+
+def test_repeated_fragments_are_no_closing_lines(spark):
+    """Fragments that end many texts are cut when their words go on elsewhere; lines that close are not."""
+    whole = ["The baker fixed the gate\nI keep the oven blue, even if nobody asks.", "The tram was late\nLumi: I keep the oven blue, even if nobody asks."]
+    rows = [(i, "s", f"Note {'abcdefghij'[i % 10] * (1 + i // 10)} was read.\n{whole[i % 2]}") for i in range(200)]
+    ends = {"I keep the oven": True, "Lumi": True, "I keep the oven blue,": True, "see you soon": False, "Yours truly,": False}
+    for k, end in enumerate(ends):
+        rows += [(1000 + 100 * k + i, "s", f"Letter {'abcdefghij'[i]} came {'late ' * i}today.\n{end}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"] for r in T.judged(docs).where("cut").collect()}
+    assert got == {1000 + 100 * k + i for k, cut in enumerate(ends.values()) if cut for i in range(8)}
