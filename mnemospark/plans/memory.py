@@ -80,7 +80,7 @@ def overlap_episodes(spark: SparkSession, d: str) -> DataFrame:
 def time_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """For each session the six episodes that meet its span, three hours wider, nearest first."""
     s = sessions.message_sessions(table(spark, d, "originals"), to_millis("created_at"))
-    left = s.where("conversation_id <> 'main-thread'").select(F.struct("conversation_id", "start_ms").alias("l_id"), (F.col("start_ms") - 3 * HOUR).alias("l_lo"), (F.col("end_ms") + 3 * HOUR).alias("l_hi"))
+    left = s.select(F.struct("conversation_id", "start_ms").alias("l_id"), (F.col("start_ms") - 3 * HOUR).alias("l_lo"), (F.col("end_ms") + 3 * HOUR).alias("l_hi"))
     right = _latest(spark, d).select(F.col("episode_id").alias("r_id"), to_millis("time_start").alias("r_lo"), to_millis("time_end").alias("r_hi"))
     n = joins.nearest(joins.interval_overlap(left, right, 6 * HOUR), 6)
     return n.select("l_id.conversation_id", "l_id.start_ms", F.col("r_id").alias("episode_id"), "rank")
