@@ -23,8 +23,9 @@ from mnemospark.llm import characters as ch
 from mnemospark.llm.charlstm import Tagger, spans
 
 MODEL = str(Path(__file__).with_name("pii_model.npz"))
-#: Texts are cut behind a full stop: one of ideographic text, or one before white space.
-CUT = r"(?<=[。！？!?\n])|(?<=[.])(?=\s)"
+#: Texts are cut behind a full stop: one of ideographic text, or one before white space that
+#: stands neither behind a single capital (an initial) nor behind a title.
+CUT = r"(?<=[。！？!?\n])|(?<=[.])(?<!(?<![A-Za-z0-9À-ɏ])[A-ZÀ-ÖØ-Þ][.])(?<!\bMr[.])(?<!\bMs[.])(?<!\bDr[.])(?<!\bMrs[.])(?<!\bProf[.])(?=\s)"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Segments tagged in one call of the model.
 CHUNK = 4096
@@ -75,6 +76,9 @@ _STREET = re.compile(
 )
 
 
+_PARTICLES = frozenset("de del della der den di da dos du la le van von y zu".split())
+
+
 def plausible(kind: str, text: str) -> bool:
     """The exact check behind the tagger: a span must have what its type cannot do without."""
     digits = sum(c.isdigit() for c in text)
@@ -87,10 +91,11 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "address":
         return (bool(digits) or any(c in _HAN_DIGITS for c in text)) and bool(_STREET.search(text))
     if any("一" <= c <= "鿿" for c in text):
-        return "·" in text or 2 <= len(text) <= 4
+        return "·" in text or (2 <= len(text) <= 4 and text != "谢谢")  # thanks, though 谢 is a family name
     words = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", text)
+    words = [w for w in words if w not in _PARTICLES]
     styles = {"lower" if w.islower() else "upper" for w in words}
-    return 2 <= len(words) <= 3 and len(styles) == 1 and min(len(words[0]), len(words[-1])) > 1
+    return 2 <= len(words) <= 5 and len(styles) == 1 and min(len(words[0]), len(words[-1])) > 1
 
 
 @lru_cache(2)

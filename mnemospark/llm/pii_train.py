@@ -60,7 +60,7 @@ _RULES: list[tuple[str, re.Pattern]] = [
     ("name", re.compile("|".join(map(re.escape, SCRIPTED_ZH)) + "|[一-鿿]{2,5}·[一-鿿]{2,5}")),
 ]
 _FAMILY = rf"(?:{'|'.join(FAMILY_HEAD)})e?(?:{'|'.join(FAMILY_TAIL)})"
-_NAME_LATIN = re.compile(rf"(?<![A-Za-z.@_-])(?:(?:{'|'.join(GIVEN)})(?:-(?:{'|'.join(GIVEN)}))? {_FAMILY}|{_FAMILY}, (?:{'|'.join(GIVEN)}))(?![A-Za-z@_-])", re.I)
+_NAME_LATIN = re.compile(rf"(?<![A-Za-z.@_-])(?:(?:{'|'.join(GIVEN)})(?:-(?:{'|'.join(GIVEN)}))?(?: [A-Z]\.){{0,2}} {_FAMILY}|{_FAMILY}, (?:{'|'.join(GIVEN)}))(?![A-Za-z@_-])", re.I)
 # a name of ideographs stands at the ends of a clause or in one of the surroundings it has in the texts
 _NAME_ZH = re.compile(rf"(?:{'|'.join(SURNAMES_ZH)})[{GIVEN_ZH}]{{1,2}}")
 _BEFORE_ZH = re.compile(r"(?:^|[^一-鿿]|叫|是|写|同事|碰到|本名|和|说)$")
@@ -115,6 +115,8 @@ class Maker:
         given, family = self.given(), self.family()
         if r.random() < 0.12:
             given += "-" + self.given()
+        if r.random() < 0.25:
+            given += f" {r.choice('ABCDEFGHIJKLMNOPRSTVW')}."
         roll = r.random()
         if roll < 0.12:
             return f"{family}, {given}"

@@ -122,3 +122,13 @@ def test_segments_tile():
     for _ in range(200):
         t = "".join(r.choice(["a.", " ", "。", "x", "\n", "！", "3.5"]) for _ in range(30))
         assert "".join(pii.segments(t)) == t
+
+
+def test_names_with_initials():
+    """A name is not cut behind its initial, and is found and masked whole."""
+    model = Tagger.load(pii.MODEL)
+    for text, name in [("my landlord is Silvan E. Haxcastle", "Silvan E. Haxcastle"), ("signed: Kasimir M. Thorncastle", "Kasimir M. Thorncastle"), ("房东叫Nora R. Draymont", "Nora R. Draymont")]:
+        (segment,) = pii.segments(text)
+        assert [(segment[a:b], k) for a, b, k in pii.find([segment], model)[0]] == [(name, "name")]
+    assert pii.segments("We met. Dr. Lark came.") == ["We met.", " Dr. Lark came."]
+    assert pii.plausible("name", "Nora van der Haxcastle") and not pii.plausible("name", "Nora S.")
