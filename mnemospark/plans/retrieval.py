@@ -136,8 +136,7 @@ def two_searches(spark: SparkSession, d: str) -> DataFrame:
     u = lexical.document_units(table(spark, d, "documents"))
     p = lexical.field_terms(u)
     first = lexical.pool(lexical.bm25(lexical.analysed(_queries(spark, d)), p, u), 20)
-    titles = _whole_queries(spark, d).withColumn("text", F.substring("text", 41, 40))
-    second = lexical.pool(lexical.bm25(lexical.analysed(titles), p, u), 20)
+    second = lexical.pool(lexical.bm25(lexical.analysed(_whole_queries(spark, d)), p, u), 20)
     return fusion.two_searches(first, second).select("query_id", "unit_id", F.round("score", 4).alias("score"))
 
 

@@ -1,5 +1,11 @@
 """Queries that do the whole job, by brute force."""
 
+import math
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from mnemospark.functions import text as T
 from mnemospark.functions.times import to_millis
 from mnemospark.operators import sessions
 from mnemospark.plans import catalog, memory
@@ -26,3 +32,34 @@ def test_time_neighbours_of_all_conversations(spark, duck):
     # the SQL leaves one conversation out; on the others both agree
     rows = duck.execute(f"SELECT conversation_id, start_ms, episode_id, rank FROM ({catalog.ORACLES['time_neighbours']})").fetchall()
     assert {g for g in got if g[0] not in (None, "main-thread")} == set(rows)
+
+
+def test_two_searches_read_the_whole_text(spark, files, tmp_path):
+    words = "kiln glaze oven bread river stone lantern copper meadow harbour violin pepper".split()
+    rows = [(i, " ".join(words[(i * k) % 12] for k in range(1, 4 + i % 5))) for i in range(1, 50)]
+    # the last words stand behind character 80; one query is short
+    rows += [(0, "kiln " * 20 + "violin pepper"), (50, "river stone")]
+    docs = files([(i, t) for i, t in rows], "doc_id long, text string").withColumn("effective_at", F.lit("2016-01-01").cast("timestamp"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["unit_id"]): r["score"] for r in catalog.QUERIES["two_searches"](spark, str(tmp_path)).collect()}
+
+    texts = {r["doc_id"]: r for r in docs.select("doc_id", "text", T.terms("text").alias("terms")).collect()}
+    tf = {i: Counter(r["terms"]) for i, r in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    n, mean = len(tf), sum(len(r["terms"]) for r in texts.values()) / len(tf)
+
+    def search(text):
+        asked = set(text.split())
+        scores = {}
+        for i, c in tf.items():
+            if asked & set(c):
+                idf = {t: max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 0) or 1e-6 for t in asked & set(c)}
+                scores[i] = round(sum(w * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(texts[i]["terms"]) / mean)) for t, w in idf.items()), 6)
+        return dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:20])
+
+    want = {}
+    for q in (0, 50):
+        a, b = search(texts[q]["text"][:40]), search(texts[q]["text"])
+        for i in a.keys() | b.keys():
+            want[q, i] = 1.15 * max(a[i], b[i]) if i in a and i in b else a[i] if i in a else 0.85 * b[i]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
