@@ -31,14 +31,32 @@ def share_inside(lists: DataFrame, row: str, ids: str, wanted: DataFrame, key: s
 
 def best_overlap(lists: DataFrame, row: str, ids: str, least: float = 0.6) -> DataFrame:
     """``row, other, share``: for each list the one that holds the largest share of its ids,
-    when that is at least ``least``; ties by the smaller other. Pairs come only from common
-    ids, and are counted and not kept."""
-    e = lists.select(F.col(row).alias("a"), F.explode(F.array_distinct(ids)).alias("_id"))
-    sizes = lists.select(F.col(row).alias("a"), F.size(F.array_distinct(ids)).alias("n"))
-    common = e.join(e.withColumnRenamed("a", "b"), "_id").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    share = common.join(sizes, "a").withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= least)
-    best = share.groupBy("a").agg(F.min_by(F.struct("b", "share"), F.struct(-F.col("share"), F.col("b"))).alias("m"))
-    return best.select(F.col("a").alias(row), F.col("m.b").alias("other"), F.round("m.share", 4).alias("share"))
+    when that is at least ``least``; ties by the smaller other.
+
+    Lists with the same ids are one class, so copies make no pairs. A class is compared with
+    those that share one of its rarest ids: to hold ``least`` of n ids, another must have one
+    of the n - ceil(least * n) + 1 rarest, so a very common id is asked for only by lists
+    that have hardly any other. Pairs are counted and not kept.
+    """
+    own = lists.select(F.col(row).alias("r"), F.array_sort(F.array_distinct(ids)).alias("ids")).where(F.size("ids") > 0)
+    # of a class the two smallest rows suffice to name the smallest other of each
+    classes = own.groupBy("ids").agg(F.min("r").alias("r0"), F.count_distinct("r").alias("members")).withColumn("a", F.xxhash64("ids", F.lit("class")))
+    e = classes.select("a", F.size("ids").alias("n"), F.explode("ids").alias("_id"))
+    freq = e.groupBy("_id").agg(F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy("a").orderBy("df", "_id")
+    asked = e.join(freq, "_id").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    pairs = asked.select("a", "_id").join(e.select(F.col("a").alias("b"), "_id"), "_id").where("a <> b").select("a", "b").distinct()
+    common = pairs.join(e.select("a", "n", "_id"), "a").join(e.select(F.col("a").alias("b"), "_id"), ["b", "_id"]).groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c"))
+    share = common.withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= least)
+    named = share.join(classes.select(F.col("a").alias("b"), F.col("r0").alias("other")), "b").select("a", "other", "share")
+    best = named.groupBy("a").agg(F.min_by(F.struct("other", "share"), F.struct(-F.col("share"), F.col("other"))).alias("m"))
+    members = own.join(classes, "ids").join(best, "a", "left")
+    # the other copies of a list hold all of it: for all but the first the first one, for the first the next
+    twins = own.join(classes.where("members > 1"), "ids").where("r <> r0").groupBy("a").agg(F.min("r").alias("r1"))
+    members = members.join(twins, "a", "left")
+    twin = F.when(F.col("members") > 1, F.struct(F.when(F.col("r") == F.col("r0"), F.col("r1")).otherwise(F.col("r0")).alias("other"), F.lit(1.0).alias("share")))
+    first = F.when(F.col("m").isNull() | ((F.col("m.share") <= 1.0) & twin.isNotNull() & ((F.col("m.share") < 1.0) | (twin["other"] < F.col("m.other")))), twin).otherwise(F.col("m"))
+    return members.select(F.col("r").alias(row), first.alias("f")).where("f IS NOT NULL").select(row, "f.other", F.round("f.share", 4).alias("share"))
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, bucket_ms: int) -> DataFrame:
@@ -91,17 +109,34 @@ def followed_within(left: DataFrame, right: DataFrame, key: str, ms: str, reach_
     return a.join(b, on, "left_semi").drop("_b")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, bucket: int = 7 * 24 * HOUR_MS, or_first: bool = False) -> DataFrame:
     """Adds to each left row the value of the last right row of its keys at or before it.
 
-    Both sides are united and read in order once per key, so the work is a sort and no join
-    of pairs. Rows of one time: right ones count as before left ones.
+    A key's rows are cut into buckets of time, so a hot key is as many windows as it has
+    buckets; the last value of earlier buckets is carried into each by a window over buckets.
+    Rows of one time: right ones count as before left ones. With ``or_first`` a left row
+    before every right one gets the first. ``at`` is a number (milliseconds) or a timestamp;
+    a null time or key finds nothing.
     """
     cols = left.columns
-    a = left.select(*cols, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    b = right.select(*[F.col(c) if c in (*keys, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    by = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(by)).where("_side = 1").drop("_side", "_v")
+    number = lambda c: F.unix_millis(F.col(c).cast("timestamp")) if left.schema[at].dataType.simpleString().startswith("timestamp") else F.col(c)
+    cut = F.floor(number(at) / bucket)
+    a = left.select(*cols, cut.alias("_b"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    b = right.select(*[F.col(c) if c in (*keys, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], cut.alias("_b"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
+    both = a.unionByName(b)
+    names = [f"_k{i}" for i in range(len(keys))]
+    last = both.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_b").alias("_c")).agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(at))).alias("_l"))
+    over = Window.partitionBy(*names).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*names, "_c", F.last("_l", ignorenulls=True).over(over).alias("_carry"))
+    by = Window.partitionBy(*keys, "_b").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_in", F.last("_v", ignorenulls=True).over(by)).where("_side = 1")
+    found = seen.join(carried, [*[F.col(k) == F.col(n) for k, n in zip(keys, names)], F.col("_b") == F.col("_c")], "left")
+    result = F.when(F.col(at).isNotNull(), F.coalesce("_in", "_carry"))
+    if or_first:
+        first = right.where(F.col(at).isNotNull()).groupBy(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)]).agg(F.min_by(value, at).alias("_first"))
+        found = found.join(first, [F.col(k) == F.col(f"_f{i}") for i, k in enumerate(keys)], "left")
+        result = F.coalesce(result, F.col("_first"))
+    return found.select(*cols, result.alias(value))
 
 
 def both_directions(edges: DataFrame, k: int) -> DataFrame:

@@ -4,54 +4,88 @@ size, and merged spans."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemospark.session import shared_dir
+from mnemospark.session import materialized
 
 MOST_MESSAGES, MOST_CHARS = 80, 16_000
+#: Messages of a stretch that one task folds; longer stretches are cut by set operations first.
+PART_ROWS = 200_000
+DAY_MS = 24 * 3_600_000
 WINDOW_CHARS, WINDOW_MESSAGES, WINDOW_GAP_MS = 2_600, 24, 3 * 3_600_000
 
 
-def split_long(messages: DataFrame, most: int = MOST_MESSAGES, chars: int = MOST_CHARS, rounds: int = 40) -> DataFrame:
+def _cut_at(ms: list[int]) -> int:
+    """Where a stretch is cut: before the message behind the longest pause of the middle
+    three fifths, the first one of equal length."""
+    n = len(ms)
+    lo = max(n // 5, 1)
+    return max(range(lo, max(n - n // 5, lo + 1)), key=lambda i: (ms[i] - ms[i - 1], -i))
+
+
+def split_long(messages: DataFrame, most: int = MOST_MESSAGES, chars: int = MOST_CHARS, part_rows: int = PART_ROWS, rounds: int | None = None) -> DataFrame:
     """``session, ms, ord, chars, part``: sessions of more than ``most`` messages or ``chars``
     characters are cut at their longest pause whose place is in the middle three fifths, the
-    first one of equal length, and the parts again until all fit.
-
-    ``messages`` has ``session, ms, ord, chars``. A round cuts every part that is still too
-    long, as set operations over all of them; parts that fit are done and leave the loop,
-    so rounds get smaller, and each is written to the shared folder. A part of one message
-    is never cut.
+    first one of equal length, and the parts again until all fit. A part of one message is
+    never cut; every row comes out.
+
+    ``messages`` has ``session, ms, ord, chars``. Parts of up to ``part_rows`` messages are
+    cut to the end in one fold, which holds just one of them. Longer ones are first cut by
+    rounds of set operations: sizes and places come from counts per day and never from a
+    window over the whole part. Each round is written to the shared folder; ``rounds`` bounds
+    them in tests, and what is then still longer is folded all the same.
     """
-    spark = messages.sparkSession
-    folder = shared_dir(spark)
     todo = messages.select("session", "ms", "ord", "chars").withColumn("part", F.lit("0"))
-    done: list[DataFrame] = []
-    for n in range(rounds):
-        whole = Window.partitionBy("session", "part")
-        order = whole.orderBy("ms", "ord")
-        sized = todo.withColumns({"n": F.count(F.lit(1)).over(whole), "all": F.sum("chars").over(whole), "i": F.row_number().over(order) - 1, "pause": F.col("ms") - F.lag("ms").over(order)})
-        path = f"{folder}/round{n}"
-        sized.write.parquet(path)
-        sized = spark.read.schema(sized.schema).parquet(path)
-        long = ((F.col("n") > most) | (F.col("all") > chars)) & (F.col("n") > 1)
-        done.append(sized.where(~long).select("session", "ms", "ord", "chars", "part"))
-        sized = sized.where(long)
-        if not sized.take(1):
+    ready: list[DataFrame] = []
+    n = 0
+    while True:
+        todo = materialized(todo)
+        days = todo.groupBy("session", "part", F.floor(F.col("ms") / DAY_MS).alias("day")).agg(F.count(F.lit(1)).alias("c"), F.max("ms").alias("last"))
+        size = days.groupBy("session", "part").agg(F.sum("c").alias("n"))
+        big = materialized(size.where(F.col("n") > part_rows))
+        keys = ["session", "part"]
+        if (rounds is not None and n >= rounds) or not big.take(1):
+            ready.append(todo)
             break
+        ready.append(todo.join(big, keys, "left_anti"))
+        todo = todo.join(big, keys).withColumn("day", F.floor(F.col("ms") / DAY_MS))
+        by_day = Window.partitionBy(*keys).orderBy("day")
+        before = days.join(big.select(*keys), keys, "left_semi").select(
+            *keys, "day", F.coalesce(F.sum("c").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(by_day).alias("last")
+        )
+        inside = Window.partitionBy(*keys, "day").orderBy("ms", "ord")
+        placed = materialized(
+            todo.join(before, [*keys, "day"])
+            .withColumn("i", F.col("before") + F.row_number().over(inside) - 1)
+            .withColumn("pause", F.col("ms") - F.coalesce(F.lag("ms").over(inside), F.col("last")))
+        )
         lo = F.greatest(F.floor(F.col("n") / 5), F.lit(1))
         may = (F.col("i") >= lo) & (F.col("i") < F.greatest(F.col("n") - F.floor(F.col("n") / 5), lo + 1))
-        cut = sized.where(may).groupBy("session", "part").agg(F.min_by("i", F.struct(-F.col("pause"), F.col("i"))).alias("cut"))
-        todo = sized.join(cut, ["session", "part"]).select(
-            "session", "ms", "ord", "chars", F.concat("part", F.when(F.col("i") < F.col("cut"), F.lit("0")).otherwise(F.lit("1"))).alias("part")
-        )
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        cut = placed.where(may).groupBy(*keys).agg(F.min_by("i", F.struct(-F.col("pause"), F.col("i"))).alias("cut"))
+        todo = placed.join(cut, keys).select("session", "ms", "ord", "chars", F.concat("part", F.when(F.col("i") < F.col("cut"), F.lit("0")).otherwise(F.lit("1"))).alias("part"))
+        n += 1
+    rows = reduce(DataFrame.unionByName, ready)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ms", "ord"], kind="stable", ignore_index=True)
+        ms, size = pdf["ms"].tolist(), [0, *pdf["chars"].cumsum().tolist()]
+        names: list[str] = [""] * len(ms)
+        stack = [(0, len(ms), pdf["part"].iloc[0])]
+        while stack:
+            a, b, name = stack.pop()
+            if b - a > 1 and (b - a > most or size[b] - size[a] > chars):
+                at = a + _cut_at(ms[a:b])
+                stack += [(a, at, name + "0"), (at, b, name + "1")]
+            else:
+                names[a:b] = [name] * (b - a)
+        return pdf.assign(part=names)
+
+    return rows.groupBy("session", "part").applyInPandas(fold, rows.schema)
 
 
 def pack_windows(messages: DataFrame, gap_ms: int = WINDOW_GAP_MS, chars: int = WINDOW_CHARS, most: int = WINDOW_MESSAGES) -> DataFrame:

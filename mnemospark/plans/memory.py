@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.functions.times import local_day, millis_text, to_millis, within_dates
-from mnemospark.operators import chunks, delivery, ingest, joins, segments, sessions, timewindows, versions
+from mnemospark.operators import chunks, ingest, joins, segments, sessions, timewindows, versions
+from mnemospark.operators.speakers import with_speaker
 from mnemospark.plans.problems import millis_sql
 from mnemospark.sources.tables import table, with_arrival
 
@@ -15,12 +16,14 @@ HOUR = 3_600_000
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    """One row per message with a usable time."""
-    o = table(spark, d, "originals").select("conversation_id", "item_id", "id", F.lower(F.trim("role")).alias("role"), F.length(F.coalesce("content", F.lit(""))).alias("chars"), to_millis("created_at").alias("ms"))
+    """One row per message with a usable time; ``role`` is its speaker by the aliases."""
+    o = with_speaker(table(spark, d, "originals"), table(spark, d, "speakers")).select("conversation_id", "item_id", "id", F.col("speaker").alias("role"), F.length(F.coalesce("content", F.lit(""))).alias("chars"), to_millis("created_at").alias("ms"))
     return o.groupBy("conversation_id", "item_id").agg(F.min(F.struct("ms", "id", "role", "chars")).alias("m")).select("conversation_id", "item_id", "m.*").where("ms IS NOT NULL")
 
 
-MESSAGES = f"""o AS (SELECT conversation_id, item_id, id, lower(trim(role)) AS role, length(coalesce(content, '')) AS chars, {millis_sql('created_at')} AS ms FROM originals),
+SPEAKERS = "(SELECT lower(trim(alias)) AS alias, min(speaker) AS speaker FROM speakers WHERE alias IS NOT NULL GROUP BY 1)"
+SPELT = "lower(trim(regexp_replace(role, '^\\s+|\\s+$', '', 'g')))"
+MESSAGES = f"""o AS (SELECT conversation_id, item_id, id, speaker AS role, length(coalesce(content, '')) AS chars, {millis_sql('created_at')} AS ms FROM originals LEFT JOIN {SPEAKERS} ON alias = {SPELT}),
 m AS (SELECT * FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY conversation_id, item_id ORDER BY ms NULLS FIRST, id NULLS FIRST, role NULLS FIRST, chars) = 1) WHERE ms IS NOT NULL)"""
 
 
@@ -70,11 +73,14 @@ def said_in_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sources_stored(spark: SparkSession, d: str) -> DataFrame:
-    return joins.share_inside(_latest(spark, d), "episode_id", "source_raw_ids", table(spark, d, "originals").where("role = 'user'"), "id")
+    """How many of an episode's sources are stored as a user's words."""
+    said = with_speaker(table(spark, d, "originals"), table(spark, d, "speakers")).where("speaker = 'user'")
+    return joins.share_inside(_latest(spark, d), "episode_id", "source_raw_ids", said, "id")
 
 
 def overlap_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return joins.best_overlap(_latest(spark, d).where("kind = ''"), "episode_id", "source_raw_ids")
+    """For each episode the one that holds the largest share of its sources."""
+    return joins.best_overlap(_latest(spark, d), "episode_id", "source_raw_ids")
 
 
 def time_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -282,17 +288,11 @@ def category_rates(spark: SparkSession, d: str) -> DataFrame:
     return e.rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("status") == "active").cast("double")), 6).alias("share_active"), F.grouping("kind").cast("int").alias("is_total"))
 
 
-def new_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    """A second batch laid onto a stored one: how many rows of each source stay."""
-    o = table(spark, d, "originals")
-    return delivery.one_copy(o, to_millis("ingested_at")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {f.__name__: f for f in (
     latest_episodes, version_history, live_messages, relation_upsert, status_intervals, unprocessed, said_in_window, sources_stored, overlap_episodes, time_neighbours, context_tail,
     answered_soon, seen_as_of, recently_shown, causes, provenance, stories, last_steps, ingest_classes, ingest_state, derived_ids, conflicts, session_digests, closed_sessions,
     split_sessions, packed_windows, episode_spans, daily, month_parts, week_windows, named_windows, paragraph_chunks, chunk_tiling, budget_sums, quotes_verified, important_recent,
-    message_stats, latency_percentiles, category_rates, new_deliveries,
+    message_stats, latency_percentiles, category_rates,
 )}
 
 _SESS = f"""{MESSAGES}, l AS (SELECT conversation_id, ms, lag(ms) OVER (PARTITION BY conversation_id ORDER BY ms) AS b FROM m),
@@ -314,14 +314,14 @@ ORACLES = {
     "unprocessed": f"WITH {MESSAGES}, {LATEST} SELECT conversation_id, count(*) AS n_unprocessed, min(ms) AS first_ms FROM m WHERE id NOT IN (SELECT unnest(source_raw_ids) FROM latest) GROUP BY 1",
     "said_in_window": f"""WITH {MESSAGES}, {LATEST}, s AS (SELECT id FROM m WHERE strftime(make_timestamp_ms(ms), '%Y-%m-%d') BETWEEN '2016-02-01' AND '2016-02-15')
         SELECT episode_id FROM latest WHERE episode_id IN (SELECT episode_id FROM (SELECT episode_id, unnest(source_raw_ids) AS id FROM latest) SEMI JOIN s USING (id))""",
-    "sources_stored": f"""WITH {LATEST}, e AS (SELECT DISTINCT episode_id, unnest(source_raw_ids) AS id FROM latest), u AS (SELECT DISTINCT id FROM originals WHERE role = 'user')
+    "sources_stored": f"""WITH {LATEST}, e AS (SELECT DISTINCT episode_id, unnest(source_raw_ids) AS id FROM latest), u AS (SELECT DISTINCT id FROM originals JOIN {SPEAKERS} ON alias = {SPELT} WHERE speaker = 'user')
         SELECT episode_id, count(*) AS n_ids, count(u.id) AS n_inside, count(*) = count(u.id) AS whole FROM e LEFT JOIN u USING (id) GROUP BY 1""",
-    "overlap_episodes": f"""WITH {LATEST}, x AS (SELECT DISTINCT episode_id, unnest(source_raw_ids) AS id FROM latest WHERE kind = ''), n AS (SELECT episode_id, count(*) AS n FROM x GROUP BY 1),
+    "overlap_episodes": f"""WITH {LATEST}, x AS (SELECT DISTINCT episode_id, unnest(source_raw_ids) AS id FROM latest), n AS (SELECT episode_id, count(*) AS n FROM x GROUP BY 1),
         c AS (SELECT a.episode_id, b.episode_id AS other, count(*) AS c FROM x a JOIN x b USING (id) WHERE a.episode_id <> b.episode_id GROUP BY ALL)
         SELECT episode_id, other, round(c / n, 4) AS share FROM c JOIN n USING (episode_id) WHERE c / n >= 0.6 QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY c / n DESC, other) = 1""",
     "time_neighbours": f"""WITH {_SESS}, {LATEST}, e AS (SELECT episode_id, {millis_sql('time_start')} AS lo, {millis_sql('time_end')} AS hi FROM latest)
         SELECT conversation_id, start_ms, episode_id, row_number() OVER (PARTITION BY conversation_id, start_ms ORDER BY abs(start_ms + end_ms - lo - hi), episode_id) AS rank
-        FROM sess JOIN e ON hi >= start_ms - 10800000 AND lo <= end_ms + 10800000 AND lo <= hi WHERE conversation_id <> 'main-thread' QUALIFY rank <= 6""",
+        FROM sess JOIN e ON hi >= start_ms - 10800000 AND lo <= end_ms + 10800000 AND lo <= hi QUALIFY rank <= 6""",
     "context_tail": f"""WITH {MESSAGES}, w AS (SELECT conversation_id, item_id, ms, list({{'t': ms, 'v': item_id}}) OVER (PARTITION BY conversation_id ORDER BY ms, item_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS b FROM m)
         SELECT conversation_id, item_id, coalesce(array_to_string(list_transform(list_filter(b, lambda x: x.t >= ms - 86400000), lambda x: x.v), ','), '') AS before FROM w""",
     "answered_soon": f"""WITH {MESSAGES}, a AS (SELECT * FROM m WHERE role = 'assistant'), u AS (SELECT * FROM m WHERE role = 'user')
@@ -364,5 +364,4 @@ ORACLES = {
     "latency_percentiles": f"""WITH x AS (SELECT source, {millis_sql('ingested_at')} - {millis_sql('created_at')} AS ms FROM originals), y AS (SELECT source, list(ms ORDER BY ms) AS l, count(*) AS n FROM x WHERE ms IS NOT NULL GROUP BY 1)
         SELECT source, l[least(floor(n * 0.5)::BIGINT, n - 1) + 1] AS p50, l[least(floor(n * 0.95)::BIGINT, n - 1) + 1] AS p95, l[n] AS most FROM y""",
     "category_rates": f"WITH {LATEST} SELECT kind, count(*) AS n, round(avg((status = 'active')::INT), 6) AS share_active, grouping(kind)::INT AS is_total FROM latest GROUP BY ROLLUP (kind)",
-    "new_deliveries": "SELECT source, count(*) AS n FROM (SELECT DISTINCT source, conversation_id, item_id FROM originals) GROUP BY 1",
 }

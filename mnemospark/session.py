@@ -32,24 +32,32 @@ def session(app: str = "mnemospark", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that all executors share.
+    """A fresh folder that all executors share, deleted when the driver ends.
 
-    It lies under ``spark.checkpoint.dir``; only where that is unset (local tests) is a
-    machine-local folder chosen, and then set, so that ``checkpoint()`` uses it too.
+    It lies under ``spark.checkpoint.dir``. Only a local session may leave that unset; then a
+    machine-local folder is chosen and set, so that ``checkpoint()`` uses it too. On a
+    cluster a missing setting is an error, for executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or "file://" + tempfile.mkdtemp(prefix="spark-")
-        if not held:
+        root = spark.sparkContext.getCheckpointDir()
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/mnemospark-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: what follows reads them and does not repeat
     the work, and a lost executor takes nothing with it."""
-    path = shared_dir(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

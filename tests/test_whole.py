@@ -29,9 +29,6 @@ def test_time_neighbours_of_all_conversations(spark, duck):
     assert "WindowGroupLimit" in query._jdf.queryExecution().executedPlan().toString()  # six per session and task before the shuffle
     got = {tuple(r) for r in query.select("conversation_id", "start_ms", "episode_id", "rank").collect()}
     assert got == want and any(c == "main-thread" for c, *_ in got)
-    # the SQL leaves one conversation out; on the others both agree
-    rows = duck.execute(f"SELECT conversation_id, start_ms, episode_id, rank FROM ({catalog.ORACLES['time_neighbours']})").fetchall()
-    assert {g for g in got if g[0] not in (None, "main-thread")} == set(rows)
 
 
 def test_two_searches_read_the_whole_text(spark, files, tmp_path):
