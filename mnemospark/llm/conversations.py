@@ -1,10 +1,11 @@
 """Rebuilding conversations from message rows with keyed streaming state.
 
-Messages stream into state keyed by conversation and time slice. A slice buffers its
-messages, however late or out of order they come, until the watermark passes its end; then
-it is emitted as a summary of its turns. A conversation is judged when its slices have
-closed, by joining the turns at their borders. So a conversation that holds a third of all
-messages is as many pieces of state as it has slices, and never one group.
+Two keyed states follow each other in one stream. The first holds the messages of a
+conversation and time slice, however late or out of order they come, and is emitted as a
+summary of the slice's turns once the watermark has passed its end. The second holds the
+summaries of a conversation and emits its verdict when it is closed: when nothing came for
+the timeout, in event time. So a conversation that holds a third of all messages is as many
+pieces of state as it has slices and then one row per slice, and never one group of messages.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.times import to_millis
 from mnemospark.llm.characters import VISIBLE_JAVA
+from mnemospark.operators.speakers import with_speaker
 from mnemospark.session import shared_dir
 from mnemospark.sources.tables import with_arrival
+from mnemospark.streaming.runs import replayed
 
-SLICE = "6 hours"
-SLICE_MS = 6 * 3600 * 1000
-#: Event time of the mark that ends a bounded input: every slice before it closes.
-END_MS = 253_370_764_800_000
+SLICE_MS = 3600 * 1000
+#: Messages of one conversation and slice above which it is cut into seconds.
+DENSE = 2000
 
 
 def first_delivered(originals: DataFrame) -> DataFrame:
@@ -29,124 +31,153 @@ def first_delivered(originals: DataFrame) -> DataFrame:
     The minimum of structs combines before the shuffle. Rows without an item_id cannot be
     recognised as copies; each counts as a message of its own.
     """
-    o = with_arrival(originals).select("conversation_id", "item_id", "arrival", "role", "content", "created_at")
+    o = with_arrival(originals).select("conversation_id", "item_id", "arrival", "role", "content", "created_at", "ingested_at")
     o = o.withColumn("key", F.coalesce("item_id", F.concat(F.lit("\u0000"), F.col("arrival.file"), F.lit("\u0000"), F.col("arrival.row").cast("string"))))
-    first = o.groupBy("conversation_id", "key").agg(F.min_by(F.struct("item_id", "role", "content", "created_at", "arrival"), F.col("arrival")).alias("m"))
+    first = o.groupBy("conversation_id", "key").agg(F.min_by(F.struct("item_id", "role", "content", "created_at", "ingested_at", "arrival"), F.col("arrival")).alias("m"))
     return first.select("conversation_id", "m.*")
 
 
 def spoken(messages: DataFrame, speakers: DataFrame) -> DataFrame:
     """Adds ``speaker`` (null: unknown), ``ms`` (null: no usable time) and ``visible``."""
-    alias = speakers.select(F.lower(F.trim("alias")).alias("_alias"), "speaker").where(F.col("_alias").isNotNull()).dropDuplicates(["_alias"])
-    return (
-        messages.withColumn("_alias", F.lower(F.trim(F.regexp_replace("role", r"^\s+|\s+$", ""))))
-        .join(alias, "_alias", "left")
-        .drop("_alias")
-        .withColumn("ms", to_millis("created_at"))
-        .withColumn("visible", F.coalesce(F.col("content").rlike(VISIBLE_JAVA), F.lit(False)))
-    )
+    return with_speaker(messages, speakers).withColumn("ms", to_millis("created_at")).withColumn("visible", F.coalesce(F.col("content").rlike(VISIBLE_JAVA), F.lit(False)))
 
 
-def _runs(turns: Column) -> Column:
-    """Runs of one speaker in an ordered array of messages: array of (s, v)."""
-    empty = F.array().cast("array<struct<s:string,v:boolean>>")
+def placed(messages: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Adds ``part`` (null, or the second within a crowded slice) and ``at``, the event time.
 
-    def step(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), (last["v"] | m["v"]).alias("v"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["s"] == m["s"]), grown).otherwise(
-            F.concat(acc, F.array(F.struct(m["s"].alias("s"), m["v"].alias("v"))))
+    A message without a usable time is streamed by the time it was stored, or with the first
+    possible slice; it takes part in the verdict and in no turn. Slices that hold more than
+    ``dense`` messages of a conversation are few, and are cut into seconds.
+    """
+    at = F.coalesce("ms", to_millis("ingested_at"), F.lit(0))
+    m = messages.withColumn("_at", at).withColumn("_slice", F.floor(F.col("_at") / SLICE_MS))
+    crowded = m.groupBy(F.col("conversation_id").alias("_c"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense).drop("_n")
+    m = m.join(crowded, F.col("conversation_id").eqNullSafe(F.col("_c")) & (F.col("_slice") == F.col("_s")), "left")
+    part = F.when(F.col("_s").isNotNull(), F.floor(F.col("_at") / 1000))
+    return m.withColumns({"part": part, "at": F.timestamp_millis("_at")}).drop("_at", "_slice", "_c", "_s")
+
+
+def _runs(turns: Column, new: Column | None = None) -> Column:
+    """Runs of one speaker in an ordered array of (s, v, ...): array of (s, first, last), the
+    places of a run. One pass over neighbours finds where runs begin."""
+    n = F.size(turns)
+    at = lambda i: F.element_at(turns, i)
+    begins = lambda i: (i == 1) | (at(i)["s"] != at(F.greatest(i - 1, F.lit(1)))["s"]) | (at(i)["gap"] if new is not None else F.lit(False))
+    starts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), begins)
+    return F.zip_with(starts, F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b - 1, n).alias("b")))
+
+
+def slice_summary(messages: Column) -> Column:
+    """Messages of a slice in order (array of ``s, v``, users and assistants only) as the runs
+    at its ends and one verdict on those in between.
+
+    Runs 2 to n-1 of a slice are whole; whether they are answered among themselves is decided
+    here (``open``). The first and last run may go on in other slices, so the two at each end
+    are handed on, in order, with ``gap`` where runs between them were left out and
+    ``judged`` where the follower of a run was already looked at.
+    """
+    run = lambda x: F.struct(F.element_at(messages, x["a"])["s"].alias("s"), F.exists(F.slice(messages, x["a"], x["b"] - x["a"] + 1), lambda y: y["v"]).alias("v"))
+    runs = F.transform(_runs(messages), run)
+
+    def ends(r: Column) -> Column:
+        n = F.size(r)
+        inner = F.exists(
+            F.when(n > 3, F.sequence(F.lit(2), n - 2)).otherwise(F.array().cast("array<int>")),
+            lambda i: (F.element_at(r, i)["s"] == "user") & F.element_at(r, i)["v"] & ~F.element_at(r, i + 1)["v"],
         )
+        places = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: (i <= 2) | (i >= n - 1))
+        kept = F.transform(places, lambda i: F.struct(
+            F.element_at(r, i)["s"].alias("s"), F.element_at(r, i)["v"].alias("v"), ((i >= 2) & (i <= n - 2)).alias("judged"), ((i == n - 1) & (n > 4)).alias("gap"),
+        ))
+        return F.struct(inner.alias("open"), kept.alias("ends"))
+
+    # the runs are bound to a variable, so that they are found once
+    return F.element_at(F.transform(F.array(runs), ends), 1)
+
+
+def conversation_verdict(slices: Column) -> Column:
+    """``first_speaker, unanswered`` from the summaries of a conversation's slices in order."""
+    ends = F.flatten(F.transform(slices, lambda x: x["ends"]))
+
+    def judge(e: Column) -> Column:
+        part = lambda x: F.slice(e, x["a"], x["b"] - x["a"] + 1)
+        turns = F.transform(_runs(e, F.lit(True)), lambda x: F.struct(
+            F.element_at(e, x["a"])["s"].alias("s"), F.exists(part(x), lambda y: y["v"]).alias("v"), F.exists(part(x), lambda y: y["judged"]).alias("judged"),
+        ))
+        bad = lambda t: F.exists(F.when(F.size(t) > 0, F.sequence(F.lit(1), F.size(t))).otherwise(F.array().cast("array<int>")), lambda i: (
+            (F.element_at(t, i)["s"] == "user") & F.element_at(t, i)["v"] & ~F.element_at(t, i)["judged"] & ~F.coalesce(F.try_element_at(t, i + 1)["v"], F.lit(False))
+        ))
+        return F.struct(F.get(e, F.lit(0))["s"].alias("first_speaker"), F.element_at(F.transform(F.array(turns), bad), 1).alias("unanswered"))
 
-    return F.aggregate(turns, empty, step)
+    verdict = F.element_at(F.transform(F.array(ends), judge), 1)
+    return F.struct(verdict["first_speaker"].alias("first_speaker"), (verdict["unanswered"] | F.exists(slices, lambda x: x["open"])).alias("unanswered"))
 
 
-def slice_stream(messages: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Closed slices of a stream of messages (``conversation_id, at, ms, row, s, v``).
+def slice_stream(messages: DataFrame, delay: str) -> DataFrame:
+    """Closed slices of a stream of messages (``conversation_id, at, part, ms, row, s, v``):
+    ``conversation_id, at, slice, summary, shown, odd``.
 
-    Emitted in append mode once the watermark, ``delay`` behind the latest event, has
-    passed a slice; until then late messages are taken into its state.
+    Emitted in append mode once the watermark, ``delay`` behind the latest event, has passed
+    a slice; until then late messages are taken into its state.
     """
+    talk = F.col("s").isin("user", "assistant")
+    usable = talk & F.col("ms").isNotNull()
     return (
         messages.withWatermark("at", delay)
-        .groupBy("conversation_id", F.window("at", SLICE).alias("w"))
-        .agg(F.collect_list(F.struct("ms", "row", "s", "v")).alias("m"))
-        .select("conversation_id", F.unix_millis("w.start").alias("slice"), F.transform(F.array_sort("m"), lambda x: F.struct(x["s"].alias("s"), x["v"].alias("v"))).alias("m"))
-    )
-
+        .groupBy("conversation_id", F.window("at", f"{SLICE_MS} milliseconds").alias("w"), "part")
+        .agg(
+            F.collect_list(F.when(usable, F.struct("ms", "row", "s", "v"))).alias("m"),
+            F.max(talk & F.col("v")).alias("shown"), F.max((F.col("s") == "?") | F.col("ms").isNull()).alias("odd"),
+        )
+        .select(
+            "conversation_id", F.window_time("w").alias("at"), F.struct(F.unix_millis("w.start").alias("w"), F.coalesce("part", F.lit(0)).alias("part")).alias("slice"),
+            slice_summary(F.array_sort("m")).alias("summary"), "shown", "odd",
+        )
+    )
 
-def slice_turns(slices: DataFrame) -> DataFrame:
-    """A slice as the runs at its ends and one verdict on those in between.
 
-    Runs 2 to n-1 of a slice are whole; whether they are answered among themselves is
-    decided here (``open``). The first and last run may go on in other slices, so the two
-    at each end are handed on, in order, with ``gap`` where runs between them were left out
-    and ``judged`` where the follower of a run was already looked at.
-    """
-    r = slices.select("conversation_id", "slice", _runs(F.col("m")).alias("r")).withColumn("n", F.size("r")).where("n > 0")
-    inner = F.exists(
-        F.when(F.col("n") > 3, F.sequence(F.lit(2), F.col("n") - 2)).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.element_at("r", i)["s"] == "user") & F.element_at("r", i)["v"] & ~F.element_at("r", i + 1)["v"],
+def verdict_stream(slices: DataFrame, timeout: str) -> DataFrame:
+    """``conversation_id, defects`` of each conversation as it closes: when the watermark is
+    the timeout past its last slice. A conversation without a defect is a valid one."""
+    closed = (
+        slices.groupBy("conversation_id", F.session_window("at", timeout).alias("w"))
+        .agg(F.array_sort(F.collect_list(F.struct("slice", "summary"))).alias("x"), F.max("shown").alias("shown"), F.max("odd").alias("odd"))
+        .select("conversation_id", "shown", "odd", conversation_verdict(F.transform("x", lambda x: x["summary"])).alias("v"))
     )
-    ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i <= 2) | (i >= F.col("n") - 1))
-    return r.select("conversation_id", "slice", inner.alias("open"), F.col("n"), F.posexplode(F.transform(ends, lambda i: F.struct(i.alias("i"), F.element_at("r", i).alias("t")))).alias("k", "e"), ).select(
-        "conversation_id", "slice", "open", "k",
-        F.col("e.t.s").alias("s"), F.col("e.t.v").alias("v"),
-        ((F.col("e.i") >= 2) & (F.col("e.i") <= F.col("n") - 2)).alias("judged"),
-        ((F.col("k") == 2) & (F.col("n") > 4)).alias("gap"),
-    )
+    found = F.when(~F.col("shown"), F.array(F.lit("empty"))).otherwise(
+        F.array_compact(F.array(F.when(F.col("odd") | F.coalesce(F.col("v.first_speaker") == "assistant", F.lit(False)), F.lit("broken")), F.when(F.col("v.unanswered"), F.lit("unanswered"))))
+    )
+    return closed.select("conversation_id", found.alias("defects"))
 
 
-def turn_verdicts(ends: DataFrame) -> DataFrame:
-    """``conversation_id, first_speaker, unanswered`` from the ends of its slices.
+def conversations(messages: DataFrame, delay: str = "24 hours", timeout: str = "30 days") -> DataFrame:
+    """The whole stream, for endless input: verdicts of conversations as they close.
 
-    The window of a conversation holds at most four rows per slice it was active in.
+    A message later than the delay is dropped by the engine, and one that comes after the
+    timeout of its conversation begins another; a run over the stored table (:func:`judged`)
+    stays the whole truth.
     """
-    order = Window.partitionBy("conversation_id").orderBy("slice", "k")
-    new = F.coalesce((F.lag("s").over(order) != F.col("s")) | F.col("gap"), F.lit(True))
-    turns = (
-        ends.withColumn("_new", new.cast("int"))
-        .withColumn("turn", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy("conversation_id", "turn")
-        .agg(F.first("s").alias("s"), F.max("v").alias("v"), F.max("open").alias("open"), F.max("judged").alias("judged"))
-    )
-    by_turn = Window.partitionBy("conversation_id").orderBy("turn")
-    answered = F.coalesce(F.lead("v").over(by_turn), F.lit(False))
-    return (
-        turns.withColumn("bad", F.col("open") | ((F.col("s") == "user") & F.col("v") & ~F.col("judged") & ~answered))
-        .groupBy("conversation_id")
-        .agg(F.min_by("s", "turn").alias("first_speaker"), F.max("bad").alias("unanswered"))
-    )
+    return verdict_stream(slice_stream(messages, delay), timeout)
+
 
+def prepared(spark: SparkSession, originals: DataFrame, speakers: DataFrame, folder: str, text: bool = False) -> str:
+    """Writes the first delivery of each message in the form that is streamed, and with its
+    text if that is asked for, and returns the path."""
+    m = placed(spoken(first_delivered(originals), speakers))
+    kept = m.select("conversation_id", "ms", F.col("arrival").alias("row"), F.coalesce("speaker", F.lit("?")).alias("s"), F.col("visible").alias("v"), "part", "at", *(["content"] if text else []))
+    kept.write.parquet(f"{folder}/messages")
+    return f"{folder}/messages"
 
-def run_slices(spark: SparkSession, messages: DataFrame, folder: str) -> DataFrame:
-    """Streams a bounded table of messages through :func:`slice_stream` and reads the result.
 
-    The messages are written once, in a narrow form, with a mark after the last possible
-    time; the stream takes them and then the mark, whose watermark closes every slice. The
-    source, the state's checkpoint and the output lie in the shared folder, so a lost
-    executor is replaced and the query goes on from its checkpoint.
+def judged(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """``conversation_id, defects`` of every conversation of a prepared table.
+
+    The delay and the timeout are as long as all of the table, so no message is late and no
+    conversation closes before all are in, whatever the order of files and the number of
+    micro-batches; the mark that follows in a second run closes them all.
     """
-    end = spark.range(1).select(
-        F.lit(None).cast("string").alias("conversation_id"), F.lit(END_MS).alias("ms"), F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("row")).alias("row"),
-        F.lit("none").alias("s"), F.lit(False).alias("v"),
-    )
-    source = messages.unionByName(end).withColumn("at", F.timestamp_millis("ms"))
-    source.write.parquet(f"{folder}/messages")
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/messages")
-        query = (
-            slice_stream(stream.where(F.col("ms").isNotNull()))
-            .writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-            .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/slices").start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema("conversation_id string, slice bigint, m array<struct<s:string,v:boolean>>").parquet(f"{folder}/slices")
+    narrow = ["conversation_id", "ms", "row", "s", "v", "part", "at"]
+    return replayed(path, "at", lambda s, delay: conversations(s.select(*narrow), f"{delay} milliseconds", f"{delay + SLICE_MS} milliseconds"), spark, files_per_batch)
 
 
 def defects(spark: SparkSession, originals: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -158,27 +189,8 @@ def defects(spark: SparkSession, originals: DataFrame, speakers: DataFrame) -> D
     Messages of equal time follow each other as they arrived. An empty table has no defect;
     a null conversation_id is a conversation like any other.
     """
-    folder = shared_dir(spark)
-    said = spoken(first_delivered(originals), speakers)
-    narrow = said.select("conversation_id", "ms", F.col("arrival").alias("row"), F.coalesce("speaker", F.lit("?")).alias("s"), F.col("visible").alias("v"))
-    slices = run_slices(spark, narrow, folder)
-    rows = spark.read.parquet(f"{folder}/messages").where(F.col("ms").isNull() | (F.col("ms") < END_MS))
-    talk = F.col("s").isin("user", "assistant")
-    whole = rows.groupBy("conversation_id").agg(
-        F.max(talk & F.col("v")).alias("shown"), F.max(F.col("s").isin("?") | F.col("ms").isNull()).alias("odd")
-    )
-    kept = slices.select("conversation_id", "slice", F.filter("m", lambda x: x["s"].isin("user", "assistant")).alias("m"))
-    verdict = turn_verdicts(slice_turns(kept)).withColumnRenamed("conversation_id", "_c")
-    judged = whole.join(verdict, whole["conversation_id"].eqNullSafe(verdict["_c"]), "left").drop("_c")
-    found = F.when(~F.col("shown"), F.array(F.lit("empty"))).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(F.col("odd") | (F.col("first_speaker") == "assistant"), F.lit("broken")),
-                F.when(F.col("unanswered"), F.lit("unanswered")),
-            )
-        )
-    )
-    return judged.select("conversation_id", F.explode(found).alias("defect"))
+    path = prepared(spark, originals, speakers, shared_dir(spark))
+    return judged(spark, path).select("conversation_id", F.explode("defects").alias("defect"))
 
 
 def rebuilt(spark: SparkSession, originals: DataFrame, speakers: DataFrame) -> DataFrame:
@@ -191,10 +203,12 @@ def rebuilt(spark: SparkSession, originals: DataFrame, speakers: DataFrame) -> D
     its length has no bound; ``collect_list`` over (conversation_id) gives the array where
     it is short enough.
     """
-    drop = defects(spark, originals, speakers).select(F.col("conversation_id").alias("_d")).distinct()
-    said = spoken(first_delivered(originals), speakers).where(F.col("speaker").isin("user", "assistant") & F.col("ms").isNotNull())
-    said = said.join(drop, said["conversation_id"].eqNullSafe(drop["_d"]), "left_anti").withColumn("slice", F.floor(F.col("ms") / SLICE_MS))
-    inside = Window.partitionBy("conversation_id", "slice").orderBy("ms", "arrival")
+    path = prepared(spark, originals, speakers, shared_dir(spark), text=True)
+    valid = judged(spark, path).where(F.size("defects") == 0).select(F.col("conversation_id").alias("_d"))
+    said = spark.read.parquet(path).where(F.col("s").isin("user", "assistant") & F.col("ms").isNotNull()).select("conversation_id", "ms", "row", F.col("s").alias("speaker"), "content", "part")
+    said = said.join(valid, said["conversation_id"].eqNullSafe(valid["_d"]), "left_semi")
+    said = said.withColumn("slice", F.struct(F.floor(F.col("ms") / SLICE_MS).alias("w"), F.coalesce("part", F.lit(0)).alias("part"))).drop("part")
+    inside = Window.partitionBy("conversation_id", "slice").orderBy("ms", "row")
     said = said.withColumn("_p", F.row_number().over(inside)).withColumn("_new", F.coalesce((F.lag("speaker").over(inside) != F.col("speaker")).cast("int"), F.lit(0)))
     said = said.withColumn("_t", F.sum("_new").over(inside))
     per = said.groupBy("conversation_id", "slice").agg(

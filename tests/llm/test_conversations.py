@@ -8,7 +8,7 @@ from mnemospark.llm import conversations as C
 from mnemospark.streaming.runs import run_available
 
 SPEAKERS = [("user", "user"), ("Human ", "user"), ("assistant", "assistant"), ("tool", "none"), (None, "user")]
-SCHEMA = "conversation_id string, item_id string, role string, content string, created_at string, speaker string, ms int"
+SCHEMA = "conversation_id string, item_id string, role string, content string, created_at string, ingested_at string, speaker string, ms int"
 
 
 def brute(rows):
@@ -59,10 +59,10 @@ def messages(seed, n=400):
         role = r.choice(["user", "assistant"]) if good else r.choice(["user", "Human", " ASSISTANT", "tool", "who?", None])
         created = str(1451606400000 + r.randrange(0, 40) * hour + i) if good or r.random() < 0.95 else r.choice([None, "", "soon"])
         content = r.choice(["hi", "x", "", " ​", None]) if not good else "hi"
-        rows.append((c, r.choice([f"{i}", f"{i}", f"{max(i - 3, 0)}", None]), role, content, created, "clash", 1))
+        rows.append((c, r.choice([f"{i}", f"{i}", f"{max(i - 3, 0)}", None]), role, content, created, None, "clash", 1))
     # a conversation that is whole: user and assistant by turns over many slices
-    rows += [("whole", f"w{i}", ["user", "assistant"][i % 2], f"t{i}", str(1451606400000 + i * 2 * hour), "clash", 1) for i in range(30)]
-    rows += [("silent", "1", "user", "　", "1451606400000", "clash", 1), ("tools", "1", "tool", "log", "1451606400000", "clash", 1)]
+    rows += [("whole", f"w{i}", ["user", "assistant"][i % 2], f"t{i}", str(1451606400000 + i * 2 * hour), None, "clash", 1) for i in range(30)]
+    rows += [("silent", "1", "user", "　", "1451606400000", None, "clash", 1), ("tools", "1", "tool", "log", "1451606400000", None, "clash", 1)]
     return rows
 
 
@@ -80,24 +80,49 @@ def test_defects_and_rebuilt_equal_brute_force(spark, files, speakers, seed):
 
 
 def test_empty_table(spark, files, speakers):
-    o = files([("c", "1", "user", "x", "1451606400000", "", 1)], SCHEMA).where("false")
+    o = files([("c", "1", "user", "x", "1451606400000", None, "", 1)], SCHEMA).where("false")
     assert C.defects(spark, files([], SCHEMA, "none"), speakers).count() == 0
     assert o.count() == 0
 
 
-def test_late_messages_join_their_slice(spark, tmp_path):
-    """Two batches: what comes late but before the watermark has passed is still taken in."""
-    schema = "conversation_id string, ms long, row struct<file:string,row:long>, s string, v boolean, at timestamp"
+@pytest.mark.parametrize("seed", [3, 4])
+def test_many_batches_and_shuffled_files_change_nothing(spark, files, speakers, tmp_path, seed):
+    """One file per micro-batch, in any order: no message is lost and no verdict changes."""
+    rows = messages(seed, 300)
+    found, kept = brute(rows)
+    o = files(rows, SCHEMA)
+    path = C.prepared(spark, o, speakers, str(tmp_path / "p"))
+    stored = spark.read.parquet(path)
+    # files in an order that has nothing to do with time
+    for i in range(6):
+        stored.where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(6)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "shuffled"))
+    got = C.judged(spark, str(tmp_path / "shuffled"), files_per_batch=1).collect()
+    assert len(got) == len({r[0] for r in rows})
+    assert {(r["conversation_id"], x) for r in got for x in r["defects"]} == found
+
+
+def test_crowded_slices_are_cut(spark, files, speakers, monkeypatch):
+    rows = messages(5, 300)
+    monkeypatch.setattr(C.placed, "__defaults__", (3,))
+    o = files(rows, SCHEMA)
+    assert C.placed(C.spoken(C.first_delivered(o), speakers)).where("part IS NOT NULL").count() > 0
+    assert {tuple(x) for x in C.defects(spark, o, speakers).collect()} == brute(rows)[0]
+
+
+def test_a_conversation_closes_on_timeout(spark, tmp_path):
+    """Two batches of an endless stream: what comes late but within the delay is still taken
+    in, and a conversation is emitted when nothing came for the timeout."""
+    schema = "conversation_id string, ms long, row struct<file:string,row:long>, s string, v boolean, part long, at timestamp"
 
     def add(name, rows):
-        spark.createDataFrame([(c, ms, ("f", i), s, v) for i, (c, ms, s, v) in enumerate(rows)], "conversation_id string, ms long, row struct<file:string,row:long>, s string, v boolean").withColumn(
-            "at", F.timestamp_millis("ms")
+        spark.createDataFrame([(c, ms, ("f", i), s, v) for i, (c, ms, s, v) in enumerate(rows)], "conversation_id string, ms long, row struct<file:string,row:long>, s string, v boolean").withColumns(
+            {"part": F.lit(None).cast("long"), "at": F.timestamp_millis("ms")}
         ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
     hour = 3_600_000
-    add("1", [("c", 0, "user", True), ("c", 3 * hour, "user", True)])
-    add("2", [("c", hour, "assistant", True)])
-    add("3", [("z", C.END_MS, "none", False)])
+    add("1", [("c", 0, "user", True), ("c", 3 * hour, "user", True), ("d", 0, "user", True)])
+    add("2", [("c", hour, "assistant", True), ("c", 4 * hour, "assistant", True)])
+    add("3", [("z", 90 * hour, "user", True)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = run_available(C.slice_stream(stream, "6 hours")).where("conversation_id = 'c'").collect()
-    assert [[x["s"] for x in r["m"]] for r in out] == [["user", "assistant", "user"]]
+    out = run_available(C.conversations(stream, "6 hours", "24 hours")).collect()
+    assert {(r["conversation_id"], tuple(r["defects"])) for r in out} == {("c", ()), ("d", ("unanswered",))}
