@@ -6,13 +6,39 @@ from pyspark.sql import functions as F
 from mnemospark.llm import truncation as T
 
 
-def test_endings():
+def test_endings(spark):
     cases = {
         "The gate is fixed.": "closed", "好的。": "closed", "see\\u4e": "broken", "foo%E4%B": "broken", "a&am": "broken", "x�": "broken", "first, ": "open", "她说：": "open", "“没事": "open", "I don'": "open",
-        "and then it": "ask", "我想种蚕豆啦": "ask", "…": "closed", "🙂": "closed", "done…": "ask", "one": "ask", "he said \"so": "open",
+        "and then it": "ask", "我想种蚕豆啦": "ask", "…": "closed", "🙂": "closed", "done…": "closed", "one": "closed", "he said \"so": "open", "he did it…": "ask", "\"" + "word " * 100 + "so": "open",
     }
-    assert {k: T.ending(k)[0] for k in cases} == cases
-    assert T.ending("我想种蚕豆啦")[1] == "我想种蚕豆" and T.ending("it was…")[1] == "it was"
+    rows = [(i, "s", k) for i, k in enumerate(cases)]
+    got = T.tails(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {rows[r["doc_id"]][2]: r["ending"] for r in got} == cases
+    row = spark.createDataFrame([("It was 3.5 km",)], "text string").select(T.words(F.col("text")), T.bared(F.lit("it was… \n"))).first()
+    assert list(row) == [["it", "was", "0", ".", "0", "km"], "it was"]
+
+
+def test_counts_of_places(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The oven is hot. The oven is hot today… Wait"), (2, "The oven is hot."), (3, "the oven is")], "doc_id long, text string")
+    hot = spark.range(1).select(F.xxhash64(F.array(F.lit("is"), F.lit("hot"))).alias("pair"))
+    got = T.ending_statistics(docs, hot)
+    one = lambda *w: spark.range(1).select(F.xxhash64(F.array(*map(F.lit, w)))).first()[0]
+    by = {r["context"]: (r["n"], r["ended"]) for r in got.collect()}
+    assert by[one("is", "hot")] == by[one("oven", "is", "hot")] == (3, 2) and one("hot", "today") not in by
+    monkeypatch.setattr(T, "PAIRS", 0)  # the join by hash gives the same
+    assert {r["context"]: (r["n"], r["ended"]) for r in T.ending_statistics(docs, hot).collect()} == by
+
+
+def test_long_sentences_go_in_stretches(spark, monkeypatch):
+    """Every place of a long sentence is compared once, with the words before it."""
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ws = ["\u0001", *text.split()]
+    got = [tuple(r) for r in T.places(T.sentences(docs)).select(F.array_join(F.slice("w", F.col("i") - 1, 2), " ")).collect()]
+    assert sorted(got) == sorted((" ".join(ws[i - 1 : i + 1]),) for i in range(1, 500))
+    want = T.compared(T.places(T.sentences(docs))).select(F.explode("numbers")).count()
+    monkeypatch.setattr(T, "STRETCH", 1000)
+    assert T.compared(T.places(T.sentences(docs))).select(F.explode("numbers")).count() == want
 
 
 def test_hazards_find_the_limit(spark):
