@@ -10,8 +10,11 @@ CYRILLIC = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "
             "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W"}
 GREEK = {"ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
          "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C"}
-ARMENIAN = {"օ": "o", "ս": "u", "Օ": "O"}
-LOOK_ALIKE = {**CYRILLIC, **GREEK, **ARMENIAN}
+ARMENIAN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B"}
+COPTIC = {"Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X"}
+LISU = {"ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U"}
+LOOK_ALIKE = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **COPTIC, **LISU}
 
 # Characters without ink outside the category of format characters.
 FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠎⠀ㅤﾠ"
@@ -21,7 +24,7 @@ BLANK_JAVA = r"\s\p{Z}\p{Cc}\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180
 VISIBLE_JAVA = f"[^{BLANK_JAVA}]"
 
 #: Blocks that hold unstable characters; ideographs, syllables and private use are stable as a whole.
-_BLOCKS = ((0x00, 0x3400), (0xA600, 0xAC00), (0xF900, 0x10000), (0x10000, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+_BLOCKS = ((0x00, 0x3400), (0xA4D0, 0xAC00), (0xF900, 0x10000), (0x10000, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
 
 
 def invisible(ch: str) -> bool:

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.llm import characters as ch
+from mnemospark.session import materialized
 
-#: Rows of a look-alike group that one task pairs with one block of the same group.
+#: Rows of a block of a look-alike group; a task pairs two blocks.
 BLOCK = 2000
 
 
@@ -69,6 +70,11 @@ def unified(c: Column | str) -> Column:
     return F.when(unstable, _unify(F.when(unstable, c))).otherwise(c)
 
 
+def _number(c: str) -> list[Column]:
+    """A text as 128 bits, so that numbers and not texts are moved and compared."""
+    return [F.xxhash64(c), F.xxhash64(F.lit("2"), c)]
+
+
 def look_alikes(texts: DataFrame) -> DataFrame:
     """Pairs of keys with texts that look the same and are different strings.
 
@@ -76,26 +82,26 @@ def look_alikes(texts: DataFrame) -> DataFrame:
     text several keys. Result: ``src_table, id_a, id_b`` with ``id_a < id_b``, each pair
     once. Null keys and texts without a visible character are in no pair.
 
-    The first pass aggregates two numbers per form and so finds the forms that are written
-    in more than one way, with partial aggregation whatever a form's share of the rows;
-    only their rows are joined. A large group is cut into blocks of about ``BLOCK`` rows:
-    each row is paired with every block, so no task holds a whole group and no pair is lost.
+    Each text is brought to its form once and kept as numbers of form and text. The first
+    pass aggregates two numbers per form and so finds the forms that are written in more than
+    one way, with partial aggregation whatever a form's share of the rows; only their rows
+    are joined. A large group is cut into blocks of about ``BLOCK`` rows, and two blocks meet
+    in a cell of their own: a task holds two blocks, never a whole group, and no pair is lost.
     """
     t = texts.select("src_table", "id", "text").where(F.col("id").isNotNull() & F.col("text").rlike(ch.VISIBLE_JAVA))
-    t = t.withColumn("form", unified("text"))
-    spelt = t.select("src_table", F.xxhash64("form").alias("h"), F.xxhash64("text").alias("x"))
-    varied = spelt.groupBy("src_table", "h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    rows = (
-        t.withColumn("h", F.xxhash64("form"))
-        .join(varied.select("src_table", "h", "n"), ["src_table", "h"])
-        .select("src_table", "form", "id", "text", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        .distinct()
-    )
-    left = rows.select("src_table", "form", F.col("id").alias("id_a"), F.col("text").alias("text_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    right = rows.select("src_table", "form", F.col("id").alias("id_b"), F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    h, g = _number("form")
+    x, y = _number("text")
+    t = materialized(t.withColumn("form", unified("text")).select("src_table", "id", h.alias("h"), g.alias("g"), x.alias("x"), y.alias("y")))
+    form = ["src_table", "h", "g"]
+    varied = t.groupBy(*form).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    rows = t.join(varied.select(*form, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), form).distinct()
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a row is on the left with its own and later blocks, on the right with its own and earlier ones
+    left = rows.select(*form, F.col("id").alias("l"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("block").alias("i"), F.explode_outer(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = rows.select(*form, F.col("id").alias("r"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.explode_outer(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
     return (
-        left.join(right, ["src_table", "form", "block"])
-        .where("id_a < id_b AND text_a <> text_b")
-        .select("src_table", "id_a", "id_b")
+        left.join(right, [*form, "i", "j"])
+        .where("l <> r AND (lx <> rx OR ly <> ry)")
+        .select("src_table", F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"))
         .distinct()
     )
