@@ -1,12 +1,15 @@
 """Lexical ranking of many queries at once: postings, document frequency, BM25, coverage.
 
-A unit is a row with a title, a body, entities and tags. Queries and units meet in an
-equi-join on terms, so a query touches only the postings of its own terms.
+A unit is a row with a title, a body, entities and tags, in a channel (memories, messages,
+documents) that has its own statistics. Queries and units meet in an equi-join on terms, so
+a query touches only the postings of its own terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
@@ -18,6 +21,8 @@ FIELDS = {"title": 3.0, "body": 1.0, "ent": 2.0, "tag": 1.5}
 COMMON, LEAST_UNITS = 0.3, 8
 POOL, DEPTH = 200, 50
 RELEVANCE = {"coverage": 0.65, "lexical": 0.35, "phrase": 0.15}
+CHANNELS = ("memory", "message", "document")
+_NONE = "array<string>"
 
 
 def episode_units(episodes: DataFrame) -> DataFrame:
@@ -26,137 +31,166 @@ def episode_units(episodes: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     trailing = lambda c: F.when(F.length(text(c)) > 0, F.concat(F.lit("\n"), F.col(c))).otherwise(F.lit(""))
     return e.select(
-        F.col("episode_id").alias("unit_id"), T.first_sentence(text("content")).alias("title"),
+        F.lit("memory").alias("channel"), F.col("episode_id").alias("unit_id"), T.first_sentence(text("content")).alias("title"),
         F.concat(text("content"), trailing("state"), trailing("excerpt")).alias("body"),
-        F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("topics", F.array().cast("array<string>")).alias("tags"),
+        F.coalesce("entities", F.array().cast(_NONE)).alias("entities"), F.coalesce("topics", F.array().cast(_NONE)).alias("tags"),
         F.when(F.col("status") == "active", "confirmed").otherwise("archived").alias("status"),
         F.coalesce("importance", F.lit(0.5)).alias("importance"), F.col("time_start").alias("effective_at"), "version", "kind",
-        F.coalesce("source_raw_ids", F.array().cast("array<string>")).alias("sources"),
+        F.coalesce("source_raw_ids", F.array().cast(_NONE)).alias("sources"),
     )
 
 
 def document_units(documents: DataFrame) -> DataFrame:
     """Documents as units of one field, the body."""
-    none = F.array().cast("array<string>")
+    none = F.array().cast(_NONE)
     return documents.select(
-        F.col("doc_id").alias("unit_id"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"), none.alias("entities"), none.alias("tags"),
+        F.lit("document").alias("channel"), F.col("doc_id").alias("unit_id"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("body"), none.alias("entities"), none.alias("tags"),
         F.lit("confirmed").alias("status"), F.lit(0.5).alias("importance"), F.date_format("effective_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effective_at"), F.lit(1).alias("version"),
         F.lit("document").alias("kind"), none.alias("sources"),
     )
 
 
-def field_terms(units: DataFrame) -> DataFrame:
-    """``unit_id, field, term, tf``: how often a term occurs in a field of a unit."""
+def message_units(messages: DataFrame) -> DataFrame:
+    """Messages as units of one field, each id once, in the text that arrived first.
+
+    ``messages`` has ``arrival`` (see ``sources.tables.with_arrival``) and ``speaker`` besides
+    its columns. ``ord`` is the place in its file, so that neighbours have neighbouring ones.
+    """
+    first = messages.where("id IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("content", "created_at", "conversation_id", "turn_id", "speaker", "arrival"), "arrival").alias("m"))
+    none = F.array().cast(_NONE)
+    return first.select(
+        F.lit("message").alias("channel"), F.col("id").alias("unit_id"), F.lit("").alias("title"), F.coalesce("m.content", F.lit("")).alias("body"), none.alias("entities"), none.alias("tags"),
+        F.lit("original").alias("status"), F.lit(0.5).alias("importance"), F.col("m.created_at").alias("effective_at"), F.lit(1).alias("version"), F.lit("message").alias("kind"), F.array("id").alias("sources"),
+        F.col("m.conversation_id").alias("conversation_id"), F.col("m.turn_id").alias("turn_id"), F.col("m.arrival.row").alias("ord"), F.col("m.speaker").alias("speaker"),
+    )
+
+
+def _marked(field: str) -> Column:
+    return F.transform(field, lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
+
+
+def postings(units: DataFrame) -> DataFrame:
+    """``channel, term, unit_id, title, body, ent, tag, tokens``: how often a term occurs in
+    each field of a unit, and the length of the unit (terms of all fields and single
+    ideographs, as the index counts them). Every unit also has a row of the empty term, so
+    that units are counted without reading them again. Written once, for all that asks it.
+    """
     joined = lambda c: F.array_join(F.col(c), "\n")
-    each = F.array(
-        *[F.struct(F.lit(f).alias("field"), T.terms(x).alias("terms")) for f, x in (("title", F.col("title")), ("body", F.col("body")), ("ent", joined("entities")), ("tag", joined("tags")))]
-    )
-    return (
-        units.select("unit_id", F.explode(each).alias("f"))
-        .select("unit_id", "f.field", F.explode("f.terms").alias("term"))
-        .groupBy("unit_id", "field", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    texts = {"title": F.col("title"), "body": F.col("body"), "ent": joined("entities"), "tag": joined("tags")}
+    t = units.select("channel", "unit_id", *[T.terms(x).alias(f) for f, x in texts.items()], F.size(T.cjk_characters(F.concat_ws("\n", *texts.values()))).alias("_single"))
+    t = t.withColumn("tokens", reduce(Column.__add__, [F.size(f) for f in texts]) + F.col("_single"))
+    each = F.concat(F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("term"))), *[_marked(f) for f in texts])
+    # the outer form, for the other would compute the list twice to filter by it
+    e = t.select("channel", "unit_id", "tokens", F.explode_outer(each).alias("p")).select("channel", "unit_id", "tokens", "p.field", "p.term")
+    return e.groupBy("channel", "term", "unit_id", "tokens").agg(*[F.count_if(F.col("field") == f).alias(f) for f in texts])
 
 
-def unit_lengths(units: DataFrame) -> DataFrame:
-    """``unit_id, tokens``: terms of all fields and single characters, as the index counts."""
-    whole = F.concat_ws("\n", "title", F.array_join("entities", "\n"), F.array_join("tags", "\n"), "body")
-    n = F.size(T.terms("title")) + F.size(T.terms("body")) + F.size(T.terms(F.array_join("entities", "\n"))) + F.size(T.terms(F.array_join("tags", "\n"))) + F.size(T.cjk_characters(whole))
-    return units.select("unit_id", n.alias("tokens"))
+def sizes(postings_: DataFrame) -> DataFrame:
+    """``channel, n_units, mean``: a row per channel."""
+    return postings_.where("term = ''").groupBy("channel").agg(F.count(F.lit(1)).alias("n_units"), F.avg("tokens").alias("mean"))
 
 
-def document_frequency(postings: DataFrame) -> DataFrame:
-    """``term, df``: units with the term in any field."""
-    return postings.groupBy("term").agg(F.count_distinct("unit_id").alias("df"))
+def document_frequency(postings_: DataFrame) -> DataFrame:
+    """``channel, term, df`` and the same by field: units with the term."""
+    by_field = [F.count_if(F.col(f) > 0).alias(f"n_{f}") for f in FIELDS]
+    return postings_.where("term <> ''").groupBy("channel", "term").agg(F.count(F.lit(1)).alias("df"), *by_field)
 
 
 def analysed(queries: DataFrame) -> DataFrame:
     """``query_id, term`` of ``query_id, text``: the informative terms, each once."""
-    return queries.select("query_id", F.explode(T.query_terms("text")).alias("term")).where(~T.is_stop(F.col("term")))
+    return queries.select("query_id", F.explode_outer(T.informative("text")).alias("term")).where("term IS NOT NULL")
 
 
-def weights(asked: DataFrame, postings: DataFrame, units: DataFrame) -> DataFrame:
-    """``query_id, term, weight`` for coverage: terms of too many units go, others weigh up
-    to one and as little as half as they spread; in a small collection all weigh one."""
-    spread = F.coalesce("df", F.lit(0)) / F.col("n")
+def weights(asked: DataFrame, postings_: DataFrame) -> DataFrame:
+    """``query_id, channel, term, weight`` for coverage: terms of too many units go, others
+    weigh up to one and as little as half as they spread; in a small channel all weigh one."""
+    spread = F.coalesce("df", F.lit(0)) / F.col("n_units")
+    every = asked.withColumn("channel", F.explode(F.array(*map(F.lit, CHANNELS)))).join(sizes(postings_), "channel")
     return (
-        asked.join(document_frequency(postings), "term", "left")
-        .withColumn("n", units.agg(F.count(F.lit(1))).scalar())
-        .where((F.col("n") < LEAST_UNITS) | (spread <= COMMON))
-        .select("query_id", "term", F.when(F.col("n") >= LEAST_UNITS, F.round(1.0 - 0.5 * spread, 4)).otherwise(F.lit(1.0)).alias("weight"))
+        every.join(document_frequency(postings_).select("channel", "term", "df"), ["channel", "term"], "left")
+        .where((F.col("n_units") < LEAST_UNITS) | (spread <= COMMON))
+        .select("query_id", "channel", "term", F.when(F.col("n_units") >= LEAST_UNITS, F.round(1.0 - 0.5 * spread, 4)).otherwise(F.lit(1.0)).alias("weight"))
     )
 
 
-def bm25(asked: DataFrame, postings: DataFrame, units: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """``query_id, unit_id, score`` summed over the terms of a query.
+def bm25(asked: DataFrame, postings_: DataFrame) -> DataFrame:
+    """``query_id, channel, unit_id, score, raw`` summed over the terms of a query.
 
-    Term frequencies are weighted by field; a unit's length counts all its tokens; the idf
-    counts units with the term in the given fields, and is at least 1e-6.
+    ``score`` orders the pool: frequencies weighted by field, one idf over units with the
+    term in any field. ``raw`` is the weighted sum of four scores, one by each field with
+    the idf of that field. An idf is at least 1e-6; lengths count all fields.
     """
-    weight = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, w in fields.items()])
-    tf = postings.where(F.col("field").isin(*fields)).groupBy("term", "unit_id").agg(F.sum(F.col("tf") * weight).alias("f"))
-    lengths = unit_lengths(units)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    idf = F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
-    return (
-        asked.select("query_id", "term")
-        .join(df, "term")
-        .join(tf, "term")
-        .join(lengths, "unit_id")
-        .withColumns({"n": units.agg(F.count(F.lit(1))).scalar(), "mean": lengths.agg(F.avg("tokens")).scalar()})
-        .groupBy("query_id", "unit_id")
-        .agg(F.sum(part).alias("score"))
-    )
+    here = postings_.join(asked.select("term").distinct(), "term", "left_semi")
+    stats = document_frequency(here).join(sizes(postings_), "channel")
+    # a query's terms meet their postings; the statistics of a term come along with it
+    j = asked.select("query_id", "term").join(stats, "term").join(postings_, ["channel", "term"])
 
+    def part(f: Column, nt: str) -> Column:
+        idf = F.log((F.col("n_units") - F.col(nt) + 0.5) / (F.col(nt) + 0.5))
+        return F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
 
-def pool(scores: DataFrame, size: int = POOL) -> DataFrame:
-    """The best ``size`` units of each query, before any filter; ties by unit. Scores are
-    rounded to six digits first, so that equal texts tie whatever the order of the sum."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    f = reduce(Column.__add__, [F.col(c) * F.lit(w) for c, w in FIELDS.items()])
+    sums = j.groupBy("query_id", "channel", "unit_id").agg(F.round(F.sum(part(f, "df")), 6).alias("score"), *[F.round(F.sum(part(F.col(c), f"n_{c}")), 4).alias(f"b_{c}") for c in FIELDS])
+    raw = reduce(Column.__add__, [F.col(f"b_{c}") * w for c, w in FIELDS.items()])
+    return sums.select("query_id", "channel", "unit_id", "score", F.round(raw, 6).alias("raw"))
 
 
-def coverage(weighted: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``query_id, unit_id, coverage, n_matched, n_strong, n_terms`` of candidate pairs: the
-    share of a query's weight that the unit's terms match, rounded to four digits."""
-    total = weighted.groupBy("query_id").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n_terms"))
-    there = postings.groupBy("unit_id", "term").agg(F.max(F.col("field").isin("title", "ent", "tag")).alias("strong"))
+def pool(scores: DataFrame, size: int = POOL) -> DataFrame:
+    """The best ``size`` units of each query and channel, before any filter; ties by unit.
+    Scores are rounded to six digits first, so that equal texts tie whatever the order of
+    the sum."""
+    best = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "unit_id")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+
+
+def coverage(weighted: DataFrame, postings_: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``query_id, channel, unit_id, coverage, n_matched, n_strong, n_terms, matched`` of
+    candidate pairs: the share of a query's weight that the unit's terms match, rounded to
+    four digits, and the matched terms with their weights."""
+    total = weighted.groupBy("query_id", "channel").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("n_terms"))
+    there = postings_.where("term <> ''").select("channel", "unit_id", "term", ((F.col("title") > 0) | (F.col("ent") > 0) | (F.col("tag") > 0)).alias("strong"))
+    pair = ["query_id", "channel", "unit_id"]
     hit = (
-        candidates.select("query_id", "unit_id")
-        .join(weighted, "query_id")
-        .join(there, ["unit_id", "term"])
-        .groupBy("query_id", "unit_id")
-        .agg(F.sum("weight").alias("part"), F.count(F.lit(1)).alias("n_matched"), F.count_if("strong").alias("n_strong"))
+        candidates.select(*pair)
+        .join(weighted, ["query_id", "channel"])
+        .join(there, ["channel", "unit_id", "term"])
+        .groupBy(*pair)
+        .agg(F.sum("weight").alias("part"), F.count(F.lit(1)).alias("n_matched"), F.count_if("strong").alias("n_strong"), F.collect_list(F.struct("term", "weight")).alias("matched"))
     )
     return (
-        candidates.select("query_id", "unit_id")
-        .join(hit, ["query_id", "unit_id"], "left")
-        .join(total, "query_id", "left")
+        candidates.select(*pair)
+        .join(hit, pair, "left")
+        .join(total, ["query_id", "channel"], "left")
         .select(
-            "query_id", "unit_id", F.round(F.coalesce(F.col("part") / F.col("all"), F.lit(0.0)), 4).alias("coverage"),
-            F.coalesce("n_matched", F.lit(0)).alias("n_matched"), F.coalesce("n_strong", F.lit(0)).alias("n_strong"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
+            *pair, F.round(F.coalesce(F.col("part") / F.col("all"), F.lit(0.0)), 4).alias("coverage"),
+            F.coalesce("n_matched", F.lit(0)).alias("n_matched"), F.coalesce("n_strong", F.lit(0)).alias("n_strong"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.col("all").alias("weight_sum"), "matched",
         )
     )
 
 
-def relevance(queries: DataFrame, units: DataFrame, postings: DataFrame, size: int = POOL) -> DataFrame:
-    """The lexical ranking: ``query_id, unit_id, raw, coverage, phrase, relevance, ...``.
+def relevance(queries: DataFrame, units: DataFrame, postings_: DataFrame, size: int = POOL) -> DataFrame:
+    """The lexical ranking: ``query_id, channel, unit_id, raw, coverage, phrase, relevance, ...``.
 
     The pool is cut before the filter on status, so an archived unit uses up its place; the
-    raw score of what remains is set against the best of its query.
+    raw score of what remains is set against the best of its query and channel.
     """
-    asked = analysed(queries)
-    best = materialized(pool(bm25(asked, postings, units), size))  # read more than once below
-    kept = best.join(units.where("status = 'confirmed'").select("unit_id", "title", "body"), "unit_id")
-    scored = kept.join(coverage(weights(asked, postings, units), postings, kept), ["query_id", "unit_id"])
+    asked = materialized(analysed(queries))
+    best = materialized(pool(bm25(asked, postings_), size))  # read more than once below
+    kept = best.join(units.where("status IN ('confirmed', 'original')").select("channel", "unit_id", "title", "body"), ["channel", "unit_id"])
+    pair = ["query_id", "channel", "unit_id"]
+    scored = kept.join(coverage(weights(asked, postings_), postings_, best.select(*pair)), pair)
     wanted = queries.select("query_id", T.phrase("text").alias("_p"))
     wanted = wanted.withColumn("_p", F.when((F.length("_p") >= 4) | F.col("_p").rlike(f"[{T.CJK}].*[{T.CJK}]"), F.col("_p")))
     scored = scored.join(wanted, "query_id").withColumn("phrase", F.coalesce(F.contains(T.phrase(F.concat_ws(" ", "title", "body")), F.col("_p")), F.lit(False)))
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    value = RELEVANCE["coverage"] * F.col("coverage") + RELEVANCE["lexical"] * F.when(top > 0, F.col("score") / top).otherwise(0.0) + F.when(F.col("phrase"), RELEVANCE["phrase"]).otherwise(0.0)
-    return scored.withColumn("relevance", F.round(F.least(F.lit(1.0), value), 4)).select(
-        "query_id", "unit_id", F.col("score").alias("raw"), "coverage", "n_matched", "n_strong", "n_terms", "phrase", "relevance"
-    )
+    top = F.max("raw").over(Window.partitionBy("query_id", "channel"))
+    value = RELEVANCE["coverage"] * F.col("coverage") + RELEVANCE["lexical"] * F.when(top > 0, F.col("raw") / top).otherwise(0.0) + F.when(F.col("phrase"), RELEVANCE["phrase"]).otherwise(0.0)
+    return scored.withColumn("relevance", F.round(F.least(F.lit(1.0), value), 4)).select(*pair, "raw", "coverage", "n_matched", "n_strong", "n_terms", "weight_sum", "matched", "phrase", "relevance")
+
+
+def single_character_hits(queries: DataFrame, units: DataFrame) -> DataFrame:
+    """``query_id, channel, unit_id, n``: units with the one ideograph that is the whole query,
+    with the number of times it occurs. Characters and units meet by equality."""
+    q = queries.select("query_id", T.single_character("text").alias("character")).where("character IS NOT NULL")
+    whole = F.concat_ws("\n", "title", F.array_join("entities", "\n"), F.array_join("tags", "\n"), "body")
+    c = units.select("channel", "unit_id", F.explode_outer(T.cjk_characters(whole)).alias("character")).where("character IS NOT NULL").groupBy("channel", "unit_id", "character").agg(F.count(F.lit(1)).alias("n"))
+    return q.join(c, "character").select("query_id", "channel", "unit_id", "n")

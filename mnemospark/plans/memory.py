@@ -10,6 +10,7 @@ from mnemospark.functions.times import local_day, millis_text, to_millis, within
 from mnemospark.operators import chunks, ingest, joins, segments, sessions, timewindows, versions
 from mnemospark.operators.speakers import with_speaker
 from mnemospark.plans.problems import millis_sql
+from mnemospark.plans.sql import SPEAKERS, SPELT
 from mnemospark.sources.tables import table, with_arrival
 
 HOUR = 3_600_000
@@ -21,8 +22,6 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("conversation_id", "item_id").agg(F.min(F.struct("ms", "id", "role", "chars")).alias("m")).select("conversation_id", "item_id", "m.*").where("ms IS NOT NULL")
 
 
-SPEAKERS = "(SELECT lower(trim(alias)) AS alias, min(speaker) AS speaker FROM speakers WHERE alias IS NOT NULL GROUP BY 1)"
-SPELT = "lower(trim(regexp_replace(role, '^\\s+|\\s+$', '', 'g')))"
 MESSAGES = f"""o AS (SELECT conversation_id, item_id, id, speaker AS role, length(coalesce(content, '')) AS chars, {millis_sql('created_at')} AS ms FROM originals LEFT JOIN {SPEAKERS} ON alias = {SPELT}),
 m AS (SELECT * FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY conversation_id, item_id ORDER BY ms NULLS FIRST, id NULLS FIRST, role NULLS FIRST, chars) = 1) WHERE ms IS NOT NULL)"""
 

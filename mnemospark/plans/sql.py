@@ -5,6 +5,10 @@ from __future__ import annotations
 from mnemospark.functions import text as T
 
 
+SPEAKERS = "(SELECT lower(trim(alias)) AS alias, min(speaker) AS speaker FROM speakers WHERE alias IS NOT NULL GROUP BY 1)"
+SPELT = "lower(trim(regexp_replace(role, '^\\s+|\\s+$', '', 'g')))"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -23,10 +27,21 @@ def terms(c: str) -> str:
 
 
 def is_stop(t: str) -> str:
-    pairs = {w[i : i + 2] for w in T.STOP_WORDS if not w.isascii() for i in range(max(1, len(w) - 1))}
-    glue = "".join(w for w in T.STOP_WORDS if len(w) == 1 and not w.isascii())
-    listed = ", ".join(_q(w) for w in sorted({*T.STOP_WORDS, *pairs}))
-    return f"({t} IN ({listed}) OR regexp_full_match({t}, '[{glue}]{{2}}') OR regexp_full_match({t}, '[a-z0-9]'))"
+    listed = ", ".join(_q(w) for w in sorted({*T.STOP_WORDS, *T.STOP_PAIRS, *T.PARTICIPANTS}))
+    return f"({t} IN ({listed}) OR regexp_full_match({t}, '[{T.GLUE}]+') OR regexp_full_match({t}, '[a-z0-9]'))"
+
+
+def seams(texts: str) -> str:
+    """``query_id, term`` of the seam pairs in a table of ``query_id, t`` (in normal form)."""
+    two = "(" + ", ".join(_q(w) for w in T.LONG_WORDS if len(w) == 2) + ")"
+    three = "(" + ", ".join(_q(w) for w in T.LONG_WORDS if len(w) == 3) + ")"
+    at = lambda i, n: f"substring(t, {i}, {n})"
+    behind = lambda i, k, n, words: f"({i} > {k} AND {at(f'greatest({i} - {k}, 1)', n)} IN {words})"
+    inside = lambda i: f"(regexp_full_match({at(i, 1)}, '[{T.GLUE}]') OR {at(i, 2)} IN {two} OR {at(i, 3)} IN {three} OR {behind(i, 1, 2, two)} OR {behind(i, 1, 3, three)} OR {behind(i, 2, 3, three)})"
+    wide = lambda i: f"regexp_full_match({at(i, 1)}, '[{T.CJK}]')"
+    end = f"(({behind('i', 1, 2, two)} OR {behind('i', 2, 3, three)}) AND {wide('(i + 1)')})"
+    start = f"(({at('i + 1', 2)} IN {two} OR {at('i + 1', 3)} IN {three}) AND {wide('i')})"
+    return f"SELECT DISTINCT query_id, {at('i', 2)} AS term FROM (SELECT query_id, t, unnest(range(1, length(t)))::INT AS i FROM {texts}) WHERE ({inside('i')} AND {inside('(i + 1)')} AND {wide('(i + 1)')}) OR {end} OR {start}"
 
 
 def phrase(c: str) -> str:
