@@ -1,8 +1,10 @@
 """Personal information in free text: found by a trained tagger, replaced by placeholders.
 
-Texts are cut at sentence ends into segments, which tile them. Equal segments are tagged
-once, whatever number of texts they occur in: their distinct values are shuffled, tagged in
-batches by a character-level BiLSTM-CRF, and only those with a mention are joined back.
+Texts are cut at line ends and ideographic full stops, which no mention crosses, and nowhere
+else; what is longer than a window is tagged in overlapping windows whose scores are blended
+and decoded as one path. Equal segments are tagged once, whatever number of texts they occur
+in: their distinct values are shuffled, tagged in batches by a character-level BiLSTM-CRF,
+and only those with a mention are joined back.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm import characters as ch
 from mnemospark.llm.charlstm import Tagger, spans
+from mnemospark.session import materialized
 
 MODEL = str(Path(__file__).with_name("pii_model.npz"))
-#: Texts are cut behind a full stop: one of ideographic text, or one before white space that
-#: stands neither behind a single capital (an initial) nor behind a title.
-CUT = r"(?<=[。！？!?\n])|(?<=[.])(?<!(?<![A-Za-z0-9À-ɏ])[A-ZÀ-ÖØ-Þ][.])(?<!\bMr[.])(?<!\bMs[.])(?<!\bDr[.])(?<!\bMrs[.])(?<!\bProf[.])(?=\s)"
+#: Texts are cut behind line ends and ideographic full stops.
+CUT = r"(?<=[。！？\n])"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Segments tagged in one call of the model.
 CHUNK = 4096
+#: Rows of a table of numbers and masks that is broadcast at most.
+BROADCAST = 500_000
 _HAN_DIGITS = "零〇一二三四五六七八九十百两幺"
 
 
@@ -68,34 +72,28 @@ def normalised(segment: str) -> tuple[str, np.ndarray]:
     return "".join(out), np.array(place, dtype=np.int64)
 
 
-# What streets are called, in the languages of the texts.
-_STREET = re.compile(
-    r"\b(?:road|street|lane|row|drive|close|terrace|court|way|avenue|hill|square|place|crescent|rd|st|ave|dr|ln|blvd|boulevard|rue|impasse|allée|chemin|quai|calle|avenida|plaza|paseo|camino)\b"
-    r"|(?:weg|gasse|straße|strasse|str|grund|platz|allee|ring|ufer|damm)\b|[路街巷弄道里坊村]|胡同",
-    re.I,
-)
-
-
+# What stands in or before a name and is no part of it that counts.
+_TITLES = frozenset("dr mr mrs ms miss prof professor doctor sir herr frau monsieur madame señor señora signor signora".split())
 _PARTICLES = frozenset("de del della der den di da dos du la le van von y zu".split())
 
 
 def plausible(kind: str, text: str) -> bool:
-    """The exact check behind the tagger: a span must have what its type cannot do without."""
+    """The exact check behind the tagger: a span must have what its type cannot do without,
+    and no list of words or greatest length says what it may be."""
     digits = sum(c.isdigit() for c in text)
     if kind == "email":
         return bool(re.search(r"(?:@|\bat\b|\(at\))\s?[^\s@]+.*(?:\.|dot\b)", text, re.I)) and bool(re.search(r"[A-Za-z)]\W*$", text))
     if kind == "phone":
-        return digits >= 7 and digits <= 17 or sum(c in _HAN_DIGITS for c in text) >= 7
+        return digits >= 7 or sum(c in _HAN_DIGITS for c in text) >= 7
     if kind == "id_number":
         return digits >= 6
     if kind == "address":
-        return (bool(digits) or any(c in _HAN_DIGITS for c in text)) and bool(_STREET.search(text))
+        return (bool(digits) or any(c in _HAN_DIGITS for c in text)) and sum(c.isalpha() for c in text) >= 2
     if any("一" <= c <= "鿿" for c in text):
-        return "·" in text or (2 <= len(text) <= 4 and text != "谢谢")  # thanks, though 谢 is a family name
+        return len(text) >= 2 and text != "谢谢"  # thanks, though 谢 is a family name
     words = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", text)
-    words = [w for w in words if w not in _PARTICLES]
-    styles = {"lower" if w.islower() else "upper" for w in words}
-    return 2 <= len(words) <= 5 and len(styles) == 1 and min(len(words[0]), len(words[-1])) > 1
+    words = [w for w in words if w.lower() not in _PARTICLES and w.lower() not in _TITLES]
+    return len(words) >= 2 and min(len(words[0]), len(words[-1])) > 1 and (text.islower() or all(not w.islower() for w in words))
 
 
 @lru_cache(2)
@@ -138,6 +136,16 @@ def cut(c: Column) -> Column:
     return F.filter(F.split(c, CUT), lambda s: s != "")
 
 
+def _number(c: Column | str) -> list[Column]:
+    """A text as 128 bits, so that joins move numbers and not texts."""
+    return [F.xxhash64(c).alias("h"), F.xxhash64(F.lit("g"), c).alias("g")]
+
+
+def _parts(texts: DataFrame, *keep: str) -> DataFrame:
+    # the outer form, for the other cuts every text twice
+    return texts.where(F.col("text").isNotNull()).select(*keep, F.posexplode_outer(cut(F.col("text"))).alias("k", "segment")).where(F.length("segment") > 1)
+
+
 def mentions(parts: DataFrame, model: str = MODEL) -> DataFrame:
     """``segment, mentions`` of every distinct value of ``parts.segment`` that has any."""
     spark = parts.sparkSession
@@ -148,6 +156,12 @@ def mentions(parts: DataFrame, model: str = MODEL) -> DataFrame:
     return distinct.mapInPandas(_tag(spark.sparkContext.broadcast(Path(model).read_bytes())), "segment string, mentions array<struct<start:int,end:int,type:string>>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A table to broadcast where it is counted and small, so that a segment or text that a
+    third of all rows share is not shuffled; as it is otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def found(texts: DataFrame, model: str = MODEL) -> DataFrame:
     """``src_table, row_id, pii_type`` of a table of ``src_table, row_id, text``, once each.
 
@@ -155,47 +169,39 @@ def found(texts: DataFrame, model: str = MODEL) -> DataFrame:
     and null keys have none; repeated rows and long texts need no care, the latter being
     read whole in overlapping windows.
     """
-    parts = texts.where(F.col("row_id").isNotNull()).select("src_table", "row_id", F.explode(cut(F.col("text"))).alias("segment"))
-    types = mentions(parts, model).select(*_number("segment"), F.array_distinct(F.transform("mentions", lambda m: m["type"])).alias("types"))
+    parts = _parts(texts.where(F.col("row_id").isNotNull()), "src_table", "row_id")
+    types = materialized(mentions(parts, model).select(*_number("segment"), F.array_distinct(F.transform("mentions", lambda m: m["type"])).alias("types")))
     return (
         parts.select("src_table", "row_id", *_number("segment"))
-        .join(types, ["h", "g"])
+        .join(_small(types), ["h", "g"])
         .select("src_table", "row_id", F.explode("types").alias("pii_type"))
         .distinct()
     )
 
 
-def _number(c: str) -> list[Column]:
-    """A segment as 128 bits, so that the join moves numbers and not texts."""
-    return [F.xxhash64(c).alias("h"), F.xxhash64(F.lit("g"), c).alias("g")]
-
-
 def redacted(texts: DataFrame, model: str = MODEL) -> DataFrame:
     """``src_table, row_id, text`` with each mention replaced by the placeholder of its type.
 
     Rows without a mention are handed on as they are. For the others the segments, masked
     where needed, are put together again in order; nothing else of a text changes. Null and
-    empty texts stay so, and every row comes out once.
+    empty texts stay so, and every row comes out once. Rows and their masks meet by a number
+    of the text, and a row without text by one of its own, so none are gathered.
     """
     rows = texts.select("src_table", "row_id", "text")
-    parts = rows.select(F.explode(cut(F.col("text"))).alias("segment"))
     marks = F.create_map(*[F.lit(x) for kv in PLACEHOLDER.items() for x in kv])
     # from the end to the start, so that places to the left stay valid
     masked = F.aggregate(
         F.reverse(F.array_sort("mentions")), F.col("segment"),
         lambda s, m: F.concat(F.substring(s, F.lit(1), m["start"]), F.try_element_at(marks, m["type"]), F.substring(s, m["end"] + 1, F.length(s))),
     )
-    change = mentions(parts, model).select("segment", masked.alias("masked"))
-    # a text is its own key: equal texts are masked once, and their rows joined by the text
-    whole = rows.where(F.col("text").isNotNull()).select("text").distinct()
-    pieces = whole.select("text", F.posexplode(cut(F.col("text"))).alias("k", "segment"))
-    changed = pieces.join(change, "segment").select("text", "k", "masked")
-    rebuilt = (
-        changed.groupBy("text")
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", "masked"))).alias("by"))
-        .select(
-            "text",
-            F.concat_ws("", F.transform(cut(F.col("text")), lambda s, i: F.coalesce(F.try_element_at(F.col("by"), i), s))).alias("masked"),
-        )
-    )
-    return rows.join(rebuilt, "text", "left").select("src_table", "row_id", F.coalesce("masked", "text").alias("text"))
+    change = materialized(mentions(_parts(rows), model).select(*_number("segment"), masked.alias("masked")))
+    t, u = _number("text")
+    numbered = rows.where(F.col("text").isNotNull()).select(t.alias("t"), u.alias("u"), "text")
+    changed = (
+        _parts(numbered, "t", "u").select("t", "u", "k", *_number("segment")).join(_small(change), ["h", "g"])
+        .groupBy("t", "u").agg(F.map_from_entries(F.collect_set(F.struct("k", "masked"))).alias("by"))
+    )
+    key = F.when(F.col("text").isNull(), F.xxhash64("src_table", "row_id")).otherwise(t)
+    whole = F.concat_ws("", F.transform(cut(F.col("text")), lambda s, i: F.coalesce(F.try_element_at(F.col("by"), i), s)))
+    j = rows.withColumns({"t": key, "u": u}).join(_small(materialized(changed)), ["t", "u"], "left")
+    return j.select("src_table", "row_id", F.when(F.col("by").isNotNull() & F.col("text").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
