@@ -167,16 +167,17 @@ def sentences(documents: DataFrame) -> DataFrame:
     # the outer form, here and below, for the other filters by its argument and so computes it twice
     text = F.replace("text", F.lit("\r"), F.lit("\n"))
     s = documents.where(F.col("text").rlike(r"\S")).select(F.explode_outer(F.split(text, _UNIT)).alias("s")).select(F.trim("s").alias("s")).where(F.length("s") > 1)
-    s = s.groupBy("s").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.array(F.lit(_START)), words(F.col("s"))).alias("w"), "n")
+    s = s.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    # sentences that differ in numbers and case only are one
+    s = s.select(F.array_join(words(F.col("s")), " ").alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n"))
+    s = s.select(F.concat(F.array(F.lit(_START)), F.split("s", " ")).alias("w"), "n")
     # very long sentences go in stretches, each with the words before it that a place looks back at
     stretch = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("w") - 1) / STRETCH).cast("int")),
         lambda k: F.slice(F.col("w"), F.greatest(k * STRETCH - SHORT, F.lit(0)) + 1, F.when(k > 0, F.lit(STRETCH + SHORT + 3)).otherwise(F.lit(STRETCH + 2))),
     )
-    long = F.size("w") > STRETCH
-    return s.where(~long).select("w", F.lit(2).alias("first"), "n").unionByName(
-        s.where(long).select(F.posexplode(stretch).alias("k", "w"), "n").select("w", F.when(F.col("k") > 0, F.lit(SHORT + 2)).otherwise(F.lit(2)).alias("first"), "n").where(F.size("w") > F.col("first"))
-    )
+    s = s.select("n", F.posexplode_outer(stretch).alias("k", "w")).select("w", F.when(F.col("k") > 0, F.lit(SHORT + 2)).otherwise(F.lit(2)).alias("first"), "n")
+    return s.where(F.size("w") > F.col("first"))
 
 
 def places(sentences_: DataFrame) -> DataFrame:
