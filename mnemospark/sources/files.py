@@ -17,13 +17,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, multi_line:
     Blank lines are no rows. A torn or foreign line raises nothing: it comes out in the
     second table (column ``line``), to be counted. Fields a line lacks are null.
     """
-    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])).option("columnNameOfCorruptRecord", BROKEN).option("mode", "PERMISSIVE")
-    if multi_line:
-        reader = reader.option("multiLine", True)
-    # read whole, for a scan of the broken column alone would read nothing else
-    rows = reader.json(path).withColumn("_any", F.coalesce(*[F.col(f.name).cast("string") for f in schema.fields]))
-    bad = F.col(BROKEN).isNotNull()
-    return rows.where(~bad & F.col("_any").isNotNull()).drop(BROKEN, "_any"), rows.where(bad).select(F.col(BROKEN).alias("line"))
+    lines = spark.read.text(path, wholetext=multi_line).where(F.col("value").rlike(r"\S"))
+    whole = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    read = lines.select("value", F.from_json("value", whole, {"columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE"}).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{BROKEN}").isNotNull()
+    return read.where(~bad).select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields]), read.where(bad).select(F.col("value").alias("line"))
 
 
 def append_json(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -38,6 +38,12 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def for_each_batch(stream: DataFrame, take: Callable[[DataFrame, int], None], state: str) -> None:
+    """Hands what there is to ``take(batch, number)``, batch by batch. A batch that failed
+    comes again under its number, so what is written by number is written once."""
+    stream.writeStream.foreachBatch(take).trigger(availableNow=True).option("checkpointLocation", state).start().awaitTermination()
+
+
 def replayed(path: str, at: str, query: Callable[[DataFrame, int], DataFrame], spark: SparkSession, files_per_batch: int | None = None) -> DataFrame:
     """Streams a stored table through ``query(stream, delay_ms)`` and then ends it.
 
