@@ -5,11 +5,14 @@ dual-feasible function maps sizes so that whatever fits one container keeps a to
 most one; the mapped total is therefore a lower bound on the containers any packing needs.
 A partition that meets its bound is certified optimal and done. Partitions with a gap give
 the documents of their unfilled containers into a common pool, which is spread anew, into
-other company, and packed again; a round counts only if it needs fewer containers.
+other company, and packed again; a round counts only if it needs fewer containers, and rounds
+go on as long as one does.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +23,6 @@ from mnemospark.session import shared_dir
 
 #: Items of one partition, which is what one task packs.
 PART_ITEMS = 20_000
-ROUNDS = 3
 
 _PACKED = "budget_id int, capacity int, key long, piece int, size int, round int, part long, bin int, bins int, bound int"
 
@@ -122,8 +124,13 @@ def _pack_round(items: DataFrame, number: int, part_items: int) -> DataFrame:
     return spread.groupBy("budget_id", "part").applyInPandas(_packer(number), _PACKED)
 
 
-def pack(items: DataFrame, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """``budget_id, capacity, key, piece, size, container`` with every item in one container.
+def pack(items: DataFrame, part_items: int = PART_ITEMS, rounds: int | None = None) -> DataFrame:
+    """``budget_id, capacity, key, piece, size, container, certified`` with every item in one
+    container.
+
+    ``certified`` says that the part the container belongs to needs no container more than
+    its lower bound, so no packing of it is better. Rounds end when every part of a budget is
+    certified or a round saves no container (``rounds`` bounds them in tests).
 
     Items of size 0 take no space and lie in no container (null). Pieces that fill a
     container by themselves pass without packing. Every round is written to the shared
@@ -141,7 +148,7 @@ def pack(items: DataFrame, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -
     loose = items.where("size > 0 AND size < capacity")
     done = []
     state = keep(_pack_round(loose, 0, part_items), "round0")
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1) if rounds is None else range(1, rounds + 1):
         fill = state.groupBy("budget_id", "part", "bin").agg(F.sum("size").alias("filled"))
         marked = state.join(fill, ["budget_id", "part", "bin"])
         open_ = (F.col("bins") > F.col("bound")) & (F.col("filled") < F.col("capacity"))
@@ -160,9 +167,9 @@ def pack(items: DataFrame, part_items: int = PART_ITEMS, rounds: int = ROUNDS) -
     for other in done:
         state = state.unionByName(other)
     name = F.concat_ws("-", F.col("round"), F.col("part"), F.col("bin"))
-    packed = state.select("budget_id", "capacity", "key", "piece", "size", name.alias("container"))
-    full = items.where("size = capacity").select("budget_id", "capacity", "key", "piece", "size", F.concat_ws("-", F.lit("full"), F.col("key"), F.col("piece")).alias("container"))
-    nothing = items.where("size = 0").select("budget_id", "capacity", "key", "piece", "size", F.lit(None).cast("string").alias("container"))
+    packed = state.select("budget_id", "capacity", "key", "piece", "size", name.alias("container"), (F.col("bins") <= F.col("bound")).alias("certified"))
+    full = items.where("size = capacity").select("budget_id", "capacity", "key", "piece", "size", F.concat_ws("-", F.lit("full"), F.col("key"), F.col("piece")).alias("container"), F.lit(True).alias("certified"))
+    nothing = items.where("size = 0").select("budget_id", "capacity", "key", "piece", "size", F.lit(None).cast("string").alias("container"), F.lit(None).cast("boolean").alias("certified"))
     return packed.unionByName(full).unionByName(nothing)
 
 
@@ -200,9 +207,9 @@ def fill_report(packed: DataFrame) -> DataFrame:
         return pd.DataFrame({"budget_id": [pdf["budget_id"].iloc[0]], "bound": [bound_of_counts(held, capacity)]})
 
     bounds = counts.groupBy("budget_id").applyInPandas(bound, "budget_id int, bound long")
-    boxes = packed.groupBy("budget_id", "capacity", "container").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("filled"))
-    total = boxes.groupBy("budget_id", "capacity").agg(F.sum("n").alias("n_items"), F.sum("filled").alias("n_tokens"), F.count("container").alias("n_containers"))
+    boxes = packed.groupBy("budget_id", "capacity", "container").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("filled"), F.max("certified").alias("certified"))
+    total = boxes.groupBy("budget_id", "capacity").agg(F.count_if("certified").alias("n_certified"), F.sum("n").alias("n_items"), F.sum("filled").alias("n_tokens"), F.count("container").alias("n_containers"))
     return total.join(bounds, "budget_id", "left").select(
-        "budget_id", "capacity", "n_items", "n_tokens", "n_containers", F.coalesce("bound", F.lit(0)).alias("bound"),
+        "budget_id", "capacity", "n_items", "n_tokens", "n_containers", "n_certified", F.coalesce("bound", F.lit(0)).alias("bound"),
         F.round(F.try_divide(F.col("n_tokens"), F.col("n_containers") * F.col("capacity")), 6).alias("filled"),
     )
