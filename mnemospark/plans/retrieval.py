@@ -186,7 +186,7 @@ def engine(spark: SparkSession, d: str, policy: str = "recall", mode: str = "bal
     searchable = u.where("status IN ('confirmed', 'original')")
     v = materialized(searchable.select(F.col("unit_id").alias("key"), provider.embed(vectors.embedding_text(F.col("kind"), F.col("title"), F.col("body"))).alias("v")))
     asked = materialized(q.select("query_id", provider.embed(F.col("text")).alias("v")))
-    near = vectors.with_mean(vectors.top_by_index(v, asked), v, asked).withColumnRenamed("key", "unit_id")
+    near = vectors.with_mean(vectors.top_by_index(v, asked, probes=22), v, asked).withColumnRenamed("key", "unit_id")
     vec = materialized(fusion.ranked(allowed(near.drop("rank")), "sim"))
     ent = materialized(fusion.ranked(allowed(entities.scores(q, u).drop("rank")), "score"))
     fused = materialized(fusion.reciprocal_ranks({"lexical": lex, "vector": vec, "entity": ent}))

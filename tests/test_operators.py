@@ -155,6 +155,8 @@ def test_two_searches(spark):
 def test_greedy_fold(spark):
     rows = [(1, "a", 3.0, None, ["p", "q", "r", "s", "t"], ["z"]), (1, "b", 2.0, None, ["p", "q", "r", "s", "t"], []), (1, "z", 1.0, None, ["k"], []), (1, "c", 0.5, "L", ["m"], []), (1, "d", 0.4, "L", ["n"], [])]
     df = spark.createDataFrame(rows, "query_id int, unit_id string, score double, lineage string, terms array<string>, sources array<string>")
+    none = {c: F.lit(None).cast(t) for c, t in (("conversation_id", "string"), ("turn_id", "string"), ("ord", "long"), ("ms", "long"))}
+    df = df.withColumns(none).withColumn("channel", F.when(F.col("unit_id") == "z", "message").otherwise("memory"))
     assert {r["unit_id"]: r["folded_into"] for r in dedupe.greedy(df).collect()} == {"a": None, "b": "a", "z": "a", "c": None, "d": "c"}
 
 
