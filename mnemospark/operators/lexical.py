@@ -122,15 +122,21 @@ def bm25(asked: DataFrame, postings_: DataFrame) -> DataFrame:
     """
     here = postings_.join(asked.select("term").distinct(), "term", "left_semi")
     stats = document_frequency(here).join(sizes(postings_), "channel")
-    # a query's terms meet their postings; the statistics of a term come along with it
-    j = asked.select("query_id", "term").join(stats, "term").join(postings_, ["channel", "term"])
 
-    def part(f: Column, nt: str) -> Column:
-        idf = F.log((F.col("n_units") - F.col(nt) + 0.5) / (F.col(nt) + 0.5))
-        return F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
+    def idf(nt: str) -> Column:
+        x = F.log((F.col("n_units") - F.col(nt) + 0.5) / (F.col(nt) + 0.5))
+        return F.greatest(F.when(x > 0, x), F.lit(1e-6))
 
+    # once per term, and not once per posting
+    stats = stats.select("channel", "term", "mean", idf("df").alias("i_df"), *[idf(f"n_{c}").alias(f"i_{c}") for c in FIELDS])
+    # a query's terms meet their postings; the statistics of a term come along with it
+    j = asked.select("query_id", "term").join(stats, "term").join(postings_, ["channel", "term"])
+    j = j.withColumn("_norm", K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
+    part = lambda f, i: F.col(i) * f * (K1 + 1) / (f + F.col("_norm"))
     f = reduce(Column.__add__, [F.col(c) * F.lit(w) for c, w in FIELDS.items()])
-    sums = j.groupBy("query_id", "channel", "unit_id").agg(F.round(F.sum(part(f, "df")), 6).alias("score"), *[F.round(F.sum(part(F.col(c), f"n_{c}")), 4).alias(f"b_{c}") for c in FIELDS])
+    # a field without the term adds nothing
+    by_field = [F.round(F.coalesce(F.sum(F.when(F.col(c) > 0, part(F.col(c), f"i_{c}"))), F.lit(0.0)), 4).alias(f"b_{c}") for c in FIELDS]
+    sums = j.groupBy("query_id", "channel", "unit_id").agg(F.round(F.sum(part(f, "i_df")), 6).alias("score"), *by_field)
     raw = reduce(Column.__add__, [F.col(f"b_{c}") * w for c, w in FIELDS.items()])
     return sums.select("query_id", "channel", "unit_id", "score", F.round(raw, 6).alias("raw"))
 

@@ -85,7 +85,11 @@ def split_long(messages: DataFrame, most: int = MOST_MESSAGES, chars: int = MOST
                 names[a:b] = [name] * (b - a)
         return pdf.assign(part=names)
 
-    return rows.groupBy("session", "part").applyInPandas(fold, rows.schema)
+    # most parts fit as they are and need no fold
+    keys = ["session", "part"]
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("c"))
+    long = materialized(size.where((F.col("n") > 1) & ((F.col("n") > most) | (F.col("c") > chars))).select(*keys))
+    return rows.join(long, keys, "left_anti").unionByName(rows.join(long, keys, "left_semi").groupBy(*keys).applyInPandas(fold, rows.schema))
 
 
 def pack_windows(messages: DataFrame, gap_ms: int = WINDOW_GAP_MS, chars: int = WINDOW_CHARS, most: int = WINDOW_MESSAGES) -> DataFrame:

@@ -12,7 +12,7 @@ from mnemospark.plans import sql
 from mnemospark.plans.sql import SPEAKERS, SPELT
 from mnemospark.session import materialized
 from mnemospark.operators.speakers import with_speaker
-from mnemospark.sources.tables import table, with_arrival
+from mnemospark.sources.tables import spread, table, with_arrival
 
 NOW_MS = 1_461_000_000_000
 #: Documents whose id is divisible by this are the queries.
@@ -44,7 +44,7 @@ def document_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
-    p = materialized(lexical.postings(lexical.document_units(table(spark, d, "documents"))))
+    p = materialized(lexical.postings(lexical.document_units(spread(table(spark, d, "documents").select("doc_id", "text", "effective_at")))))
     best = lexical.pool(lexical.bm25(lexical.analysed(_queries(spark, d)), p), 20)
     return best.select("query_id", "unit_id", "score", "rank")
 
@@ -142,7 +142,7 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def two_searches(spark: SparkSession, d: str) -> DataFrame:
     """The search for the first sentence and that for the whole text, as one list."""
-    p = materialized(lexical.postings(lexical.document_units(table(spark, d, "documents"))))
+    p = materialized(lexical.postings(lexical.document_units(spread(table(spark, d, "documents").select("doc_id", "text", "effective_at")))))
     q = _queries(spark, d)
     # both searches are one, told apart by a number beside the query
     both = q.select(F.struct("query_id", F.lit(1).alias("n")).alias("query_id"), T.first_sentence("text").alias("text")).unionByName(q.select(F.struct("query_id", F.lit(2).alias("n")).alias("query_id"), "text"))
