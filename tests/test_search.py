@@ -70,3 +70,14 @@ def no_pairs(df):
 
 def test_bm25_documents_makes_no_pairs(spark):
     no_pairs(retrieval.bm25_documents(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("name", ["lexical_ranking"])
+def test_searches_join_no_postings(spark, monkeypatch, name):
+    """A search needs no table of postings to be joined with queries."""
+
+    def none(units):
+        raise AssertionError("postings are joined")
+
+    monkeypatch.setattr(lexical, "postings", none)
+    assert retrieval.QUERIES[name](spark, "/root/testdata/sf0.001").count()
