@@ -72,7 +72,7 @@ def test_bm25_documents_makes_no_pairs(spark):
     no_pairs(retrieval.bm25_documents(spark, "/root/testdata/sf0.001"))
 
 
-@pytest.mark.parametrize("name", ["lexical_ranking", "bm25_episodes", "greedy_folding", "pool_then_filter"])
+@pytest.mark.parametrize("name", ["lexical_ranking", "bm25_episodes", "greedy_folding", "pool_then_filter", "two_searches"])
 def test_searches_join_no_postings(spark, monkeypatch, name):
     """A search needs no table of postings to be joined with queries."""
 
