@@ -81,3 +81,10 @@ def test_searches_join_no_postings(spark, monkeypatch, name):
 
     monkeypatch.setattr(lexical, "postings", none)
     assert retrieval.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_search_without_units(spark):
+    *_, u, q = made(spark, 10, 3)
+    s = lexical.searched(q, u.limit(0))
+    best = lexical.bm25_pool(*s, 5)
+    assert best.count() == 0 and lexical.coverage(*s, best).count() == 0
