@@ -6,7 +6,7 @@ import random
 import pytest
 
 from mnemospark.functions import text as T
-from mnemospark.operators import entities
+from mnemospark.operators import entities, vectors
 
 
 def test_keywords_make_the_pieces_of_a_text_once(spark):
@@ -63,3 +63,18 @@ def test_entity_ranking_compares_sets_and_ways_once(spark, monkeypatch, few, blo
         assert got[k] == (pytest.approx(score, abs=1e-6), rank)
     ((sets, ways),) = met
     assert sets < len({q for q, _ in want}) and ways < len(units)
+
+
+def test_stored_vectors_are_packed_and_lose_nothing(spark):
+    """The engine writes and shuffles a vector per message: not 2 kB each, and the same ranking."""
+    r = random.Random(5)
+    texts = [("".join(r.choices("abcdefghij 外婆室友", k=r.randint(0, 40))), i) for i in range(300)] + [("ab" * 200_000, 300), (None, 301), ("", 302)]
+    t = spark.createDataFrame(texts, "text string, key long")
+    p = vectors.Provider()
+    packed, whole = (t.select("key", c.alias("v")).persist() for c in (p.stored(t["text"]), p.embed(t["text"])))
+    sizes = {x.key: len(x.v) for x in packed.collect()}
+    assert all(n == vectors.DIMENSIONS for k, n in sizes.items() if k != 300) and sizes[300] == 4 * vectors.DIMENSIONS
+    asked = whole.where("key < 40").withColumnRenamed("key", "query_id")
+    found = [{(x.query_id, x.key): (x.sim, x["rank"]) for x in vectors.top_by_index(rows, asked, k=10, floor=0.0, lists=4, probes=4).collect()} for rows in (packed, whole)]
+    assert found[0] == found[1] and len(found[0]) >= 390
+    assert vectors.with_mean(t.select("key").limit(0).selectExpr("0L AS query_id"), packed, asked).count() == 0
