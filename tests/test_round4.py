@@ -25,3 +25,14 @@ def test_a_part_gives_one_row_per_query_and_few_units(spark):
     plan = lexical.bm25_pool(*lexical.searched(q, u), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "hits" in plan
     assert search._enough(200, 8) < 70 and search._enough(200, 1) == 200 and search._enough(20, 12) <= 20
+
+
+def test_folding_shuffles_numbers_and_no_texts(spark, monkeypatch):
+    """What comes to the fold are terms as numbers, each once, and it folds as strings do."""
+    seen = []
+    fold = retrieval.dedupe.greedy
+    monkeypatch.setattr(retrieval.dedupe, "greedy", lambda hits: seen.append(hits) or fold(hits))
+    got = retrieval.greedy_folding(spark, "/root/testdata/sf0.001").collect()
+    assert dict(seen[0].dtypes)["terms"] == "array<bigint>"
+    units = retrieval._units(spark, "/root/testdata/sf0.001").select("unit_id", retrieval.T.terms("body").alias("terms"), "sources")
+    assert sorted(fold(seen[0].drop("terms", "sources").join(units, "unit_id")).collect(), key=str) == sorted(got, key=str)
