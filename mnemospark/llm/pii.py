@@ -48,13 +48,19 @@ def _folded(c: str) -> str:
     return ch.fold(c)
 
 
+@lru_cache(1 << 15)
+def _plain(c: str) -> bool:
+    """Whether a character stays as it is, whatever stands before it."""
+    return not unicodedata.combining(c) and _folded(c) == c
+
+
 def normalised(segment: str) -> tuple[str, np.ndarray]:
     """The segment as the tagger reads it, and where each of its characters stood.
 
     Width and compatibility forms, look-alike letters and invisible characters are folded,
     accents composed and runs of white space shortened.
     """
-    if segment.isascii() and "  " not in segment and not re.search(r"[\t\n\r\f\v]", segment):
+    if "  " not in segment and (segment.isascii() and not re.search(r"[\t\n\r\f\v]", segment) or all(map(_plain, set(segment)))):
         return segment, np.arange(len(segment))
     out: list[str] = []
     place: list[int] = []

@@ -169,3 +169,24 @@ def test_names_with_initials():
         assert [(segment[a:b], k) for a, b, k in pii.find([segment], model)[0]] == [(name, "name")]
     assert pii.segments("We met. Dr. Lark came.\n好。") == ["We met. Dr. Lark came.\n", "好。"]
     assert pii.plausible("name", "Nora van der Haxcastle") and not pii.plausible("name", "Nora S.")
+
+
+def test_scores_and_paths_equal_the_plain_sums_however_rows_are_cut():
+    """The network by blocks of rows gives the scores of each row alone; the search finds a best path."""
+    from mnemospark.llm import charlstm
+
+    m = charlstm.Tagger.load(pii.MODEL)
+    r = np.random.default_rng(5)
+    ids = r.integers(1, 95, (charlstm.ROWS + 40, 30)).astype(np.int32)
+    s = m.emissions(ids)
+    assert s.shape == (len(ids), 30, len(charlstm.TAGS))
+    for i in (0, charlstm.ROWS - 1, charlstm.ROWS, len(ids) - 1):
+        assert np.allclose(s[i], m.emissions(ids[i : i + 1])[0], atol=1e-4)
+    tags = m._search(s[:50] + r.normal(0, 5, s[:50].shape).astype(np.float32))
+    assert tags.shape == (50, 30) and m.emissions(ids[:0]).shape[0] == 0
+    x = r.normal(0, 3, (20, 4, len(charlstm.TAGS))).astype(np.float32)
+    T, K = m.p["T"], len(charlstm.TAGS)
+    for row, got in zip(x, m._search(x)):
+        paths = np.stack(np.meshgrid(*[np.arange(K)] * 4, indexing="ij"), -1).reshape(-1, 4)
+        value = sum(row[t][paths[:, t]] for t in range(4)) + sum(T[paths[:, t - 1], paths[:, t]] for t in range(1, 4))
+        assert value[(paths == got).all(1)][0] >= value.max() - 1e-4
