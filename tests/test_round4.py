@@ -36,3 +36,13 @@ def test_folding_shuffles_numbers_and_no_texts(spark, monkeypatch):
     assert dict(seen[0].dtypes)["terms"] == "array<bigint>"
     units = retrieval._units(spark, "/root/testdata/sf0.001").select("unit_id", retrieval.T.terms("body").alias("terms"), "sources")
     assert sorted(fold(seen[0].drop("terms", "sources").join(units, "unit_id")).collect(), key=str) == sorted(got, key=str)
+
+
+def test_rank_fusion_joins_no_postings(spark, monkeypatch):
+    """Its lexical ranking searches by parts: no pairs that share a term are rows."""
+
+    def none(units):
+        raise AssertionError("postings are joined")
+
+    monkeypatch.setattr(lexical, "postings", none)
+    assert retrieval.rank_fusion(spark, "/root/testdata/sf0.001").count()
