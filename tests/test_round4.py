@@ -46,3 +46,10 @@ def test_rank_fusion_joins_no_postings(spark, monkeypatch):
 
     monkeypatch.setattr(lexical, "postings", none)
     assert retrieval.rank_fusion(spark, "/root/testdata/sf0.001").count()
+
+
+def test_two_searches_ask_again_for_both(spark, monkeypatch):
+    """A query is told apart from its double by a number beside it, also where it is asked again."""
+    want = sorted(retrieval.two_searches(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(search, "_enough", lambda size, parts: 2)
+    assert sorted(retrieval.two_searches(spark, "/root/testdata/sf0.001").collect()) == want
