@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemospark.operators import vectors
+from mnemospark.plans import retrieval
 
 
 def to_driver(spark, run):
@@ -41,3 +42,12 @@ def test_centres_where_most_rows_have_no_vector(spark):
     rows = spark.range(3000).select("id", F.col("id").cast("string").alias("key"), F.when(F.col("id") % 10 == 0, F.array(F.cos("id"), F.sin("id"))).alias("v"))
     there = rows.where("v IS NOT NULL")
     assert (vectors.centres_of(rows, 4, fit_rows=200) == vectors.centres_of(there, 4, fit_rows=200)).all()
+
+
+def test_terms_far_into_a_query_find_documents(spark, tmp_path):
+    """A document that shares a query's last word alone is found, whatever stands before."""
+    far = " ".join(f"w{i}" for i in range(900))
+    texts = [(50, f"{far} lastword")] + [(i, f"other{i} thing") for i in range(51, 70)] + [(70, "lastword here")]
+    spark.createDataFrame([(i, t, None) for i, t in texts], "doc_id long, text string, effective_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.query_id, r.unit_id) for r in retrieval.bm25_documents(spark, str(tmp_path)).collect()}
+    assert found == {(50, 50), (50, 70)}
