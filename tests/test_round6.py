@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import vectors
+from mnemospark.operators import lexical, vectors
 from mnemospark.plans import retrieval
 
+from .conftest import DATA
+
 
 def to_driver(spark, run):
     """Bytes of results that the tasks of ``run`` bring to the driver."""
@@ -51,3 +53,14 @@ def test_terms_far_into_a_query_find_documents(spark, tmp_path):
     spark.createDataFrame([(i, t, None) for i, t in texts], "doc_id long, text string, effective_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.query_id, r.unit_id) for r in retrieval.bm25_documents(spark, str(tmp_path)).collect()}
     assert found == {(50, 50), (50, 70)}
+
+
+def test_inject_trace_asks_every_document(spark, monkeypatch):
+    """No document with a text is left out of the queries, whatever its id."""
+    asked = []
+    searched = lexical.searched
+    monkeypatch.setattr(lexical, "searched", lambda q, *a, **k: asked.append(q) or searched(q, *a, **k))
+    trace = retrieval.inject_trace(spark, DATA)
+    texts = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()}
+    assert {r.query_id for r in asked[0].collect()} == texts
+    assert trace.agg(F.max("n_queries")).first()[0] > len(texts) / 50
